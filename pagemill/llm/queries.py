@@ -5,8 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing
+from . import exact_dedup, license_scan, line_dedup, packing, simhash, url_filter
 from .common import table
+from .license_rules import BASE, REACH, RULES
+
+
+def op3_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_packing(spark, sf_dir):
@@ -19,16 +24,75 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-OP5 = """
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+def op6_line_dedup(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op10_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _quoted(x) -> str:
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
+
+
+OP3 = rf"""
+WITH rules(rank, label, before, gate, after, base) AS (VALUES {_values([(i, *r, False) for i, r in enumerate(RULES)] + [(len(RULES) + i, *r, True) for i, r in enumerate(BASE)])}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
+h AS (SELECT r, i, w[i + 1] AS gate, array_to_string(list_transform(w[greatest(i - {REACH}, 0) + 1:i], lambda x: x || ' '), '') AS lft, array_to_string(list_transform(w[i + 2:i + 1 + {REACH}], lambda x: ' ' || x), '') AS rgt
+      FROM u WHERE w[i + 1] IN (SELECT gate FROM rules)),
+m AS (SELECT r, rank, label, base, i, trim(regexp_extract(lft, before)) AS a, trim(regexp_extract(rgt, after)) AS b FROM h JOIN rules USING (gate) WHERE regexp_matches(lft, before) AND regexp_matches(rgt, after)),
+s AS (SELECT r, rank, label, base, i - CASE WHEN a = '' THEN 0 ELSE len(string_split(a, ' ')) END AS lo, i + 1 + CASE WHEN b = '' THEN 0 ELSE len(string_split(b, ' ')) END AS hi FROM m),
+c AS (SELECT *, max(hi) OVER (PARTITION BY r, base ORDER BY lo, hi DESC, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cover FROM s),
+k AS (SELECT * FROM c WHERE base OR cover IS NULL OR cover < hi),
+g AS (SELECT r, count(*) FILTER (base) AS n_base, min(lo) FILTER (base) AS first_word, max(lo) FILTER (base) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+      max((hi - lo)::DOUBLE / ((hi - lo)::DOUBLE + 1)) FILTER (NOT base) AS score FROM k GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (r)
+"""
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, {LOWERED} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """
 
+OP6 = """
+WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, pos, line, top IS NOT NULL AND top <> doc_id AS gone FROM k LEFT JOIN g USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+OP8 = f"""
+WITH rules(h, p, v) AS (VALUES {_values(url_filter.RULES)}),
+d AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM d JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM d LEFT JOIN f USING (page_id)
+"""
+
 
 def queries():
-    return {"op4_packing": op4_packing, "op5_exact_dedup": op5_exact_dedup}
+    return {
+        "op3_license_scan": op3_license_scan, "op4_packing": op4_packing, "op5_exact_dedup": op5_exact_dedup, "op6_line_dedup": op6_line_dedup,
+        "op8_url_filter": op8_url_filter, "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": OP5}
+    return {"op3_license_scan": OP3, "op5_exact_dedup": OP5, "op6_line_dedup": OP6, "op8_url_filter": OP8}
