@@ -5,11 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, line_dedup, packing, simhash, url_filter
+from . import bpe, exact_dedup, license_scan, line_dedup, packing, simhash, substring_dedup, url_filter
 from .common import table
 from .license_rules import BASE, REACH, RULES
 
 
+def op1_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_bpe(spark, sf_dir):
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(ids, public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 def op3_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,6 +58,17 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
 
 
+OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, i, list_slice(w, i, i + 12) AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+m AS (SELECT x, min(doc_id) AS low FROM s GROUP BY x HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM s JOIN m USING (x) WHERE low < doc_id),
+k AS (SELECT r, list(i) AS gone FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
 OP3 = rf"""
 WITH rules(rank, label, before, gate, after, base) AS (VALUES {_values([(i, *r, False) for i, r in enumerate(RULES)] + [(len(RULES) + i, *r, True) for i, r in enumerate(BASE)])}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -89,10 +110,10 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM d LEFT JO
 
 def queries():
     return {
-        "op3_license_scan": op3_license_scan, "op4_packing": op4_packing, "op5_exact_dedup": op5_exact_dedup, "op6_line_dedup": op6_line_dedup,
+        "op1_substring_dedup": op1_substring_dedup, "op2_bpe": op2_bpe, "op3_license_scan": op3_license_scan, "op4_packing": op4_packing, "op5_exact_dedup": op5_exact_dedup, "op6_line_dedup": op6_line_dedup,
         "op8_url_filter": op8_url_filter, "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql():
-    return {"op3_license_scan": OP3, "op5_exact_dedup": OP5, "op6_line_dedup": OP6, "op8_url_filter": OP8}
+    return {"op1_substring_dedup": OP1, "op3_license_scan": OP3, "op5_exact_dedup": OP5, "op6_line_dedup": OP6, "op8_url_filter": OP8}
