@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, line_dedup, packing, simhash, substring_dedup, url_filter
+from . import bpe, embedding_dedup, exact_dedup, license_scan, line_dedup, packing, simhash, substring_dedup, url_filter
 from .common import table
 from .license_rules import BASE, REACH, RULES
 
@@ -43,6 +43,10 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op9_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_groups(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("label")
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -108,12 +112,23 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM d LEFT JO
 """
 
 
+OP9 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+f AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM f AS a JOIN f AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(x, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.c = l.x),
+c AS (SELECT x, min(c) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON v.vec_id = c.x LEFT JOIN n ON v.vec_id = n.x
+"""
+
+
 def queries():
     return {
         "op1_substring_dedup": op1_substring_dedup, "op2_bpe": op2_bpe, "op3_license_scan": op3_license_scan, "op4_packing": op4_packing, "op5_exact_dedup": op5_exact_dedup, "op6_line_dedup": op6_line_dedup,
-        "op8_url_filter": op8_url_filter, "op10_simhash": op10_simhash,
+        "op8_url_filter": op8_url_filter, "op9_embedding_dedup": op9_embedding_dedup, "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql():
-    return {"op1_substring_dedup": OP1, "op3_license_scan": OP3, "op5_exact_dedup": OP5, "op6_line_dedup": OP6, "op8_url_filter": OP8}
+    return {"op1_substring_dedup": OP1, "op3_license_scan": OP3, "op5_exact_dedup": OP5, "op6_line_dedup": OP6, "op8_url_filter": OP8, "op9_embedding_dedup": OP9}
