@@ -1,10 +1,72 @@
-"""Corpus pipeline: STAGES over documents, each written as Parquet and reread."""
+"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, with
+n_chars the length of the text as it has become. The driver, and run(), write each as Parquet for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.llm import language_id, line_dedup, packing, simhash, substring_dedup
+from pagemill.llm.common import stored, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document is rejected if its best language holds less than this share of its words' probability.
+LEAST_SHARE = 0.4
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in COLUMNS))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language of the labelled ones; those without letters, or in no language clearly, go. A missing
+    label is filled in."""
+    model = language_id.fit(language_id.sampled(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), "text", "lang", "doc_id"))
+    judged = language_id.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return _documents(judged.withColumn("lang", F.coalesce("lang", "lang_pred")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that three or more hold, except where the largest doc_id keeps them."""
+    return _documents(line_dedup.dedup_lines(docs))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    groups = simhash.near_groups(docs.select("doc_id", "text"))
+    going = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    return _documents(docs.join(going, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that stand in a smaller doc_id; others keep their white space."""
+    return _documents(substring_dedup.dedup_substrings(docs, whole_if_untouched=True))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in sequences of at most 2048."""
+    return packing.pack(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_dedup", keep_one_of_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("packing", pack_sequences),
+]
+#: Conditional random fields, XXH64 and BPE are beyond SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, name)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, license_scan, line_dedup, packing, simhash, substring_dedup, url_filter
+from . import bpe, embedding_dedup, exact_dedup, language_id, license_scan, line_dedup, packing, simhash, substring_dedup, url_filter
 from .common import table
 from .license_rules import BASE, REACH, RULES
 
@@ -39,6 +39,14 @@ def op6_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = language_id.fit(language_id.sampled(docs.where(fold != 2), "text", "lang", "doc_id"))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -126,7 +134,7 @@ SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, v.vec_id
 def queries():
     return {
         "op1_substring_dedup": op1_substring_dedup, "op2_bpe": op2_bpe, "op3_license_scan": op3_license_scan, "op4_packing": op4_packing, "op5_exact_dedup": op5_exact_dedup, "op6_line_dedup": op6_line_dedup,
-        "op8_url_filter": op8_url_filter, "op9_embedding_dedup": op9_embedding_dedup, "op10_simhash": op10_simhash,
+        "op7_language_id": op7_language_id, "op8_url_filter": op8_url_filter, "op9_embedding_dedup": op9_embedding_dedup, "op10_simhash": op10_simhash,
     }
 
 
