@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import dropped, stored, without
 
 BLANK, UPPER, LOWER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-KEY = ["h1", "h2"]
+KEY, ROW = ["h1", "h2"], ["__t1", "__t2", "__id"]
 
 
 def line_key(line: Column) -> Column:
@@ -78,19 +78,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keeps no line of such a key. Rows that share an id count as one document. If every line goes, the text is empty. An
     empty table gives an empty result. Columns of docs that have an output's name give way to it.
     """
-    docs = without(docs, "n_lines", "n_dropped", "__row", "__pos")
-    rows = stored(docs.withColumn(text_col, F.coalesce(text_col, F.lit(""))).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    lines = rows.select("__row", F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    keyed = lines.select("__row", "id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    hashed = keyed.select("__row", "id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"))
+    docs = without(docs, "n_lines", "n_dropped", "__pos", "__gone", *ROW)
+    # a row is known by its id and its text's hashes: rows that share both lose the same lines, and nothing has to be
+    # written to keep a row's number
+    rows = docs.withColumn(text_col, F.coalesce(text_col, F.lit(""))).withColumns({"__t1": F.xxhash64(text_col), "__t2": F.xxhash64(F.lit(1), F.col(text_col)), "__id": F.col(id_col)})
+    lines = rows.select(*ROW, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    keyed = lines.select(*ROW, "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    hashed = keyed.select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("__id"), F.lit(batches)).cast("int").alias("batch"))
     hashed = stored(hashed, "lines", by="batch")
     runs = Runs(fan_out)
     for b in range(batches):
-        runs.add(hashed.where(F.col("batch") == b).select(*KEY, "id"))
-    going = runs.totals().where(F.col("docs") >= min_docs).select(*KEY, "top")
-    gone = hashed.join(going, KEY).where(~F.col("id").eqNullSafe(F.col("top")))
-    places = gone.groupBy("__row").agg(F.collect_list("pos").alias("__gone"))  # at most the lines of one document
-    out = rows.join(places, "__row", "left")
+        runs.add(hashed.where(F.col("batch") == b).select(*KEY, F.col("__id").alias("id")))
+    # written, so that the join deals out both sides anew and Spark can split the tasks of a line that very many hold
+    going = stored(runs.totals().where(F.col("docs") >= min_docs).select(*KEY, "top"), "going")
+    gone = hashed.join(going, KEY).where(~F.col("__id").eqNullSafe(F.col("top")))
+    places = gone.groupBy(*ROW).agg(F.collect_set("pos").alias("__gone")).toDF(*(f"{c}_" for c in ROW), "__gone")  # at most the lines of one document
+    same = F.col("__t1").eqNullSafe(F.col("__t1_")) & F.col("__t2").eqNullSafe(F.col("__t2_")) & F.col("__id").eqNullSafe(F.col("__id_"))
+    out = rows.join(places, same, "left")
     split = F.split(text_col, "\n", -1)
     parts = F.array(F.struct(split.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone")).alias("kept")))
     rebuilt = F.transform(parts, lambda s: F.array_join(F.transform(s["kept"], lambda i: F.get(s["lines"], i)), "\n"))[0]
