@@ -123,3 +123,21 @@ def shown_rows(rows: DataFrame, head: int = 20, tail: int = 3, over: int = 25) -
 def fallback_tables(failed: DataFrame) -> DataFrame:
     """What stands in for a table whose extraction failed: 2 by 2, confidence 0.3."""
     return failed.withColumns({"rows": F.lit(2), "cols": F.lit(2), "structure_confidence": F.lit(0.3)})
+
+
+def rule_triplets_of_maps(rows: DataFrame, first: int = 3) -> DataFrame:
+    """rule_triplets() for rows whose values are a map (table_id, pos, row_header, data): one per key with a value."""
+    subject = F.coalesce("row_header", F.concat(F.lit("parameter_"), (F.col("pos") - 1).cast("string")))
+    out = rows.where(F.col("pos") <= first).select("table_id", "pos", subject.alias("subject"), F.explode("data").alias("key", "object")).where("key <> 'row_header' and object <> ''")
+    return out.select("table_id", "pos", "subject", F.lit("related_to").alias("predicate"), "object", F.lit(0.6).alias("confidence"), F.concat_ws(" ", "subject", F.lit("has"), "key", F.lit("of"), "object").alias("sentence"))
+
+
+def response_rows(responses: DataFrame) -> DataFrame:
+    """Saved responses (one row per table) -> their rows as data rows: table_id, page_number, pos, row_header, data; a
+    row's notes are a key of their own, last."""
+    key = F.concat_ws("_", F.lit("page"), F.coalesce(F.col("page_number"), F.col("table_index")).cast("string"), F.lit("table"), F.col("table_index").cast("string"))
+    r = responses.select(key.alias("table_id"), F.coalesce("page_number", "table_index").alias("page_number"), F.posexplode("table.data_relationships").alias("i", "r"))
+    flat = data_rows(r.select("table_id", "page_number", (F.col("i") + 1).alias("pos"), "r.row_header", "r.values", "r.single_value", "r.row_notes"))
+    noted = F.coalesce(F.col("row_notes"), F.lit("")) != ""
+    plain = F.map_filter("data", lambda k, v: k != "notes")
+    return flat.select("table_id", "page_number", "pos", "row_header", F.when(noted, F.map_concat(plain, F.create_map(F.lit("notes"), F.col("row_notes")))).otherwise(F.col("data")).alias("data"))

@@ -99,3 +99,57 @@ class PdfReader(DataSourceReader):
 def pdf_pages(spark: SparkSession, paths: list[str], dpi: int = 300) -> DataFrame:
     spark.dataSource.register(PdfPages)
     return spark.read.format("pdf_pages").option("paths", ",".join(paths)).option("dpi", str(dpi)).load()
+
+
+def page_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
+    """Image files as pages: document (the file's stem), page_number (its place by name within its folder), height, width,
+    data (gray bytes) and error. A file that can't be read has null sizes and an error."""
+    import pandas as pd
+    from pyspark.sql import Window
+
+    from ..functions.images import decode_png
+
+    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    # numbering moves names only; a folder is a document's
+    numbered = f.select("path").withColumn("page_number", F.row_number().over(Window.partitionBy(folder).orderBy("path")))
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for p, c in zip(b["path"], b["content"]):
+                try:
+                    img = decode_png(bytes(c))
+                    rows.append((p, img.shape[0], img.shape[1], img.tobytes(), None))
+                except Exception as e:  # an unreadable image is a row with an error
+                    rows.append((p, None, None, None, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=["path", "height", "width", "data", "error"]).astype({"height": "Int32", "width": "Int32"})
+
+    pixels = f.select("path", "content").mapInPandas(read, "path string, height int, width int, data binary, error string")
+    return pixels.join(numbered, "path").select("path", stem(F.col("path")).alias("document"), "page_number", "height", "width", "data", "error")
+
+
+def pdf_errors(pages: DataFrame) -> DataFrame:
+    """Per PDF file the number of its pages and what is wrong with it: 1 to 50 pages are allowed."""
+    n = pages.groupBy("path").agg(F.max("page_number").alias("pages"))
+    return n.withColumn("errors", F.array_compact(F.array(F.when(F.col("pages") < 1, "no page"), F.when(F.col("pages") > MOST_PAGES, "too many pages"))))
+
+
+def recognized(lines: DataFrame) -> DataFrame:
+    """Recognised lines (document, page_number, line_number, text) -> one text per page, lines joined."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_number", "text")))
+    return lines.groupBy("document", "page_number").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("text"))
+
+
+def writable(spark: SparkSession, path: str) -> bool:
+    """Whether a folder can be made and written, tried on the cluster's own file system."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    probe = jvm.org.apache.hadoop.fs.Path(folder, "_probe")
+    try:
+        fs.mkdirs(folder)
+        fs.create(probe, True).close()
+        return bool(fs.delete(probe, False))
+    except Exception:  # the answer is no, whatever the store says
+        return False

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.images import encode_png
+from ..functions.text import page_name
+
 #: Columns of the regions file, in order.
 REGION_COLUMNS = ("page_number", "region_id", "region_type", "x", "y", "width", "height", "confidence", "reading_order", "content_description")
 
@@ -46,3 +53,26 @@ def table_summary_json(tables: DataFrame, summary: DataFrame, path: str) -> bool
 def images(pages: DataFrame, path: str) -> None:
     """Encoded images as rows of Parquet with their file names: small files are poor for a store."""
     pages.write.mode("overwrite").parquet(path)
+
+
+def png_rows(images: DataFrame, kind: str = "preprocessed") -> DataFrame:
+    """Images (document, page_number, height, width, data) as files: file_name and content, a PNG; base64 for requests."""
+    @F.pandas_udf("binary")
+    def png(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else encode_png(np.frombuffer(d, np.uint8).reshape(int(h), int(w))) for h, w, d in zip(height, width, data)], dtype=object)
+
+    out = images.select("document", "page_number", page_name(F.col("document"), F.col("page_number"), kind).alias("file_name"), png("height", "width", "data").alias("content"))
+    return out.withColumn("base64", F.base64("content"))
+
+
+def files(rows: DataFrame, path: str) -> None:
+    """Write rows (file_name, content) as files of their own in a folder of a file system that executors share."""
+
+    def put(batch):
+        os.makedirs(path, exist_ok=True)
+        for r in batch:
+            if r.content is not None:
+                with open(os.path.join(path, os.path.basename(r.file_name)), "wb") as f:
+                    f.write(r.content)
+
+    rows.select("file_name", "content").foreachPartition(put)
