@@ -110,7 +110,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not clashes.isEmpty():
         recipes = _ranked(docs.select(text_col), recipes, clashes, contents, hash_bits)
     groups = recipes.groupBy("recipe", "ranks").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = recipes.join(groups, ["recipe", "ranks"])
+    # written, so that the join deals out both sides anew and Spark can split the tasks of a text that very many rows hold
+    out = recipes.join(stored(groups, "groups"), ["recipe", "ranks"])
     return out.select(*[F.col(f"`{f.name}`") for f in rest.fields], "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
