@@ -114,6 +114,6 @@ def judged(pages: DataFrame, url_col: str = "url", rules=RULES, default: str = "
     allowed = cascade(listed.where("verdict = 'allow'").select("key"), listed.select("key"), len(rules))
     out = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     hits = F.filter(keys_of(F.col("host"), F.col("path"), lengths), lambda k: member(levels, k))
-    best = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), F.instr(k, "/").alias("h"), k.alias("key"))))["key"]
+    best = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), F.instr(F.concat(k, F.lit("/")), "/").alias("h"), k.alias("key"))))["key"]
     out = out.withColumn("rule", best)
     return out.withColumn("verdict", F.when(F.col("rule").isNull(), F.lit(default)).when(member(allowed, F.col("rule")), F.lit("allow")).otherwise(F.lit("block")))
