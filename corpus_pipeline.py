@@ -15,7 +15,7 @@ from pagemill.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected if its best language holds less than this share of its words' probability.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 
 def _documents(docs: DataFrame) -> DataFrame:
