@@ -1,7 +1,7 @@
 """Table structure: from detected boxes to grids, cells, spans, headers and records.
 
-Boxes meet within their table: every join has the table's id as an equality key, so that overlap is a residual
-condition of a hash or merge join and never a nested loop over tables.
+Boxes meet within their table: a table is one row with arrays, made by one shuffle, and what follows is array functions
+over it. Joins have the table's id as an equality key, never a nested loop over tables.
 """
 
 from __future__ import annotations
@@ -31,31 +31,65 @@ def lines(parsed_: DataFrame) -> DataFrame:
     return parsed_.where(F.col("kind").isin("row", "column")).withColumn("place", place).withColumn("idx", n).select("table_id", "kind", "idx", "pos", "x", "y", "w", "h")
 
 
-def grid(parsed_: DataFrame) -> DataFrame:
-    """One row per table: counts, has_spans, confidence (mean score of what is used, 0.5 without any)."""
-    n = lambda kind: F.count_if(F.col("kind") == kind)
-    return parsed_.groupBy("table_id").agg(
-        n("row").alias("n_rows"), n("column").alias("n_cols"), n("header").alias("n_headers"), (n("span") > 0).alias("has_spans"),
-        F.coalesce(F.avg(F.when(F.col("kind").isNotNull(), F.col("score"))), F.lit(0.5)).alias("structure_confidence"),
+def tables(parsed_: DataFrame) -> DataFrame:
+    """One row per table, by one shuffle: its rows from the top, its columns from the left and its spans in order, as
+    arrays, with n_rows, n_cols, n_headers, has_spans and structure_confidence (mean score of what is used, 0.5 without
+    any). A table is one image's, so its boxes are few by nature."""
+    of = lambda kind, *cols: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*cols))))
+    t = parsed_.groupBy("table_id").agg(
+        of("row", "y", "pos", "h").alias("rows"), of("column", "x", "pos", "w").alias("cols"), of("span", "pos", "x", "y", "w", "h", "score").alias("spans"),
+        F.count_if(F.col("kind") == "header").alias("n_headers"), F.coalesce(F.avg(F.when(F.col("kind").isNotNull(), F.col("score"))), F.lit(0.5)).alias("structure_confidence"),
     )
+    n = lambda c: F.size(c).cast("long")
+    return t.withColumns({"n_rows": n("rows"), "n_cols": n("cols"), "has_spans": F.size("spans") > 0})
+
+
+def grid(parsed_: DataFrame) -> DataFrame:
+    """One row per table: counts, has_spans, structure_confidence."""
+    return tables(parsed_).drop("rows", "cols", "spans")
+
+
+def _record(t: DataFrame) -> DataFrame:
+    return t.withColumns({"n_rows": F.greatest("n_rows", F.lit(1)), "n_cols": F.greatest("n_cols", F.lit(1))})
 
 
 def records(parsed_: DataFrame) -> DataFrame:
     """Structure records: at least one row and column each."""
-    g = grid(parsed_)
-    return g.select("table_id", F.greatest("n_rows", F.lit(1)).alias("rows"), F.greatest("n_cols", F.lit(1)).alias("cols"), "n_headers", "has_spans", "structure_confidence")
+    return _record(grid(parsed_)).select("table_id", F.col("n_rows").alias("rows"), F.col("n_cols").alias("cols"), "n_headers", "has_spans", "structure_confidence")
 
 
-def cells(parsed_: DataFrame) -> DataFrame:
-    """Every row with every column of its table: position, box, confidence 0.8, type (rows 0 and 1 are header rows in a
-    table with a detected header)."""
-    line = lines(parsed_)
-    r = line.where("kind = 'row'").select("table_id", F.col("idx").alias("row"), "y", "h")
-    c = line.where("kind = 'column'").select("table_id", F.col("idx").alias("col"), "x", "w")
-    heads = grid(parsed_).select("table_id", "n_headers")
-    both = r.join(c, "table_id").join(heads, "table_id")
+def _exploded(t: DataFrame, *more: str) -> DataFrame:
+    """Every row with every column of its table; rows 0 and 1 are header rows in a table with a detected header."""
+    r = t.select("table_id", "cols", "n_headers", *more, F.posexplode("rows").alias("row", "r"))
+    c = r.select("table_id", "n_headers", *more, "row", "r", F.posexplode("cols").alias("col", "c"))
     kind = F.when((F.col("n_headers") > 0) & (F.col("row") <= 1), "header").otherwise("data")
-    return both.select("table_id", "row", "col", "x", "y", "w", "h", kind.alias("cell_type"), F.lit(0.8).alias("confidence"))
+    return c.select("table_id", *more, "row", "col", F.col("c.x").alias("x"), F.col("r.y").alias("y"), F.col("c.w").alias("w"), F.col("r.h").alias("h"), kind.alias("cell_type"), F.lit(0.8).alias("confidence"))
+
+
+def cells(parsed_: DataFrame) -> DataFrame:
+    """A table's cells: position, box, type, confidence 0.8."""
+    return _exploded(tables(parsed_))
+
+
+def _spanned(t: DataFrame) -> DataFrame:
+    """The cells of tables() under their spans.
+
+    A cell's box is its column's by its row's, so what a span covers is the rows that it meets by the columns that it
+    meets: its first cell and its extent follow from the two lists, without a join.
+    """
+    met = lambda lines, a, s, z: F.filter(F.transform(lines, lambda x, i: F.when(~((z[a] + z[s] <= x[a]) | (x[a] + x[s] <= z[a])), i)), lambda i: i.isNotNull())
+    lists = F.transform("spans", lambda z: F.struct(z["pos"].alias("pos"), z["score"].alias("score"), met(F.col("rows"), "y", "h", z).alias("rs"), met(F.col("cols"), "x", "w", z).alias("cs")))
+    e = _exploded(t.withColumn("hits", F.filter(lists, lambda z: (F.size(z["rs"]) > 0) & (F.size(z["cs"]) > 0))), "hits")
+    e = e.withColumn("own", F.filter("hits", lambda z: F.array_contains(z["rs"], F.col("row")) & F.array_contains(z["cs"], F.col("col"))))
+    is_main = lambda z: (F.array_min(z["rs"]) == F.col("row")) & (F.array_min(z["cs"]) == F.col("col"))
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    e = e.withColumns({"last": last(F.col("own")), "main": last(F.filter("own", is_main)), "part": last(F.filter("own", lambda z: ~is_main(z)))})
+    extent = lambda c: F.coalesce(F.array_max(F.col(f"main.{c}")) - F.array_min(F.col(f"main.{c}")) + 1, F.lit(1))
+    kind = F.when(F.col("last").isNull(), F.col("cell_type")).when(is_main(F.col("last")), "merged").otherwise("empty")
+    return e.select(
+        "table_id", "row", "col", extent("rs").alias("rowspan"), extent("cs").alias("colspan"), kind.alias("cell_type"), F.coalesce("main.score", "confidence").alias("confidence"),
+        (F.array_min("part.rs") * 100000 + F.array_min("part.cs")).alias("span_main"),
+    )
 
 
 def spanned(parsed_: DataFrame) -> DataFrame:
@@ -64,32 +98,16 @@ def spanned(parsed_: DataFrame) -> DataFrame:
     The first cell that a span covers (by row, then column) becomes merged and takes the span's extent and score; the
     other ones become empty and name it (row * 100000 + column). Of several spans the last one decides each of these.
     """
-    own = cells(parsed_)
-    spans = parsed_.where("kind = 'span'").select("table_id", F.col("pos").alias("span"), "score", *(F.col(c).alias(f"s{c}") for c in "xywh"))
-    a, b = ({k: F.col(f"s{k}") for k in "xywh"}, {k: F.col(k) for k in "xywh"})
-    hit = spans.join(own.select("table_id", "row", "col", *"xywh"), "table_id").where(G.overlaps(a, b))
-    extent = hit.groupBy("table_id", "span", "score").agg(
-        F.min(F.struct("row", "col")).alias("main"), (F.max("row") - F.min("row") + 1).alias("rs"), (F.max("col") - F.min("col") + 1).alias("cs")
-    )
-    marked = hit.select("table_id", "span", "row", "col").join(extent, ["table_id", "span"])
-    is_main = (F.col("main.row") == F.col("row")) & (F.col("main.col") == F.col("col"))
-    main_at = F.col("main.row") * 100000 + F.col("main.col")
-    last = marked.groupBy("table_id", "row", "col").agg(
-        F.max_by(F.when(is_main, "merged").otherwise("empty"), "span").alias("kind"),
-        F.max(F.when(is_main, F.struct("span", "rs", "cs", "score"))).alias("m"), F.max(F.when(~is_main, F.struct(F.col("span"), main_at.alias("at")))).alias("e"),
-    )
-    out = own.join(last, ["table_id", "row", "col"], "left")
-    return out.select(
-        "table_id", "row", "col", F.coalesce("m.rs", F.lit(1)).alias("rowspan"), F.coalesce("m.cs", F.lit(1)).alias("colspan"), F.coalesce("kind", "cell_type").alias("cell_type"),
-        F.coalesce("m.score", "confidence").alias("confidence"), F.col("e.at").alias("span_main"),
-    )
+    return _spanned(tables(parsed_))
 
 
 def summary(parsed_: DataFrame) -> DataFrame:
     """One row per table: dimensions, cells, header and merged cells, confidence, multi-level headers."""
-    per = spanned(parsed_).groupBy("table_id").agg(F.count(F.lit(1)).alias("total_cells"), F.count_if(F.col("cell_type") == "header").alias("header_cells"), F.count_if(F.col("cell_type") == "merged").alias("merged_cells"))
+    t = tables(parsed_)
+    per = _spanned(t).groupBy("table_id").agg(F.count(F.lit(1)).alias("total_cells"), F.count_if(F.col("cell_type") == "header").alias("header_cells"), F.count_if(F.col("cell_type") == "merged").alias("merged_cells"))
     n = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return records(parsed_).join(per, "table_id", "left").select("table_id", F.concat_ws("x", F.col("rows").cast("string"), F.col("cols").cast("string")).alias("dimensions"), n("total_cells"), n("header_cells"), n("merged_cells"), "structure_confidence", (F.col("n_headers") > 0).alias("has_multi_level_headers"))
+    size = F.concat_ws("x", F.col("n_rows").cast("string"), F.col("n_cols").cast("string"))
+    return _record(t.drop("rows", "cols", "spans")).join(per, "table_id", "left").select("table_id", size.alias("dimensions"), n("total_cells"), n("header_cells"), n("merged_cells"), "structure_confidence", (F.col("n_headers") > 0).alias("has_multi_level_headers"))
 
 
 def headers(parsed_: DataFrame) -> DataFrame:
