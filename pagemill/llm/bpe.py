@@ -1,8 +1,9 @@
 """Byte-level BPE over a corpus by one shuffle of its distinct words.
 
-Pre-tokens with their positions stay packed in blocks (see blocks.py): a block lists its distinct words and, position by
-position, which word stands there. Only the distinct words of each block are shuffled, to the bucket of their hash,
-where each distinct word is encoded once; the ids come back to the blocks and are put in place by position. Decoding
+Pre-tokens with their positions stay packed in blocks (see blocks.py): a block says, position by position, which word
+stands there. Blocks that follow one another in a partition form a chain, which lists its distinct words once. Only
+these lists are shuffled, to the bucket of each word's hash, where each distinct word is encoded once; the ids come back
+to the chains and are put in place by position. Decoding
 looks ids up in the token-byte table, which the vocabulary bounds, so every task has all of it.
 """
 
@@ -22,9 +23,9 @@ from .blocks import bytes_table, cut, pack, table_bytes, unpack
 from .common import small_batches, stored, unvarints, varints, without
 from .tokenizer import encoding, read_ranks
 
-#: Text of one block: large, as a block lists each of its words once.
-BLOCK = 8 << 20
-ZSTD = 3
+#: Text of one block, and of one chain at most (or one longer text): a chain's words fit a worker's memory.
+BLOCK, CHAIN = 4 << 20, 32 << 20
+ZSTD = 9
 
 
 def _words(words: list[str]) -> bytes:
@@ -48,6 +49,27 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
 
 
+def _symbols(values: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent: a leading byte each, and 13 more bits for most others, as streams of
+    their own, which compress to near the entropy of their numbers."""
+    v = values.astype(np.int64)
+    w = v - 192
+    high = np.minimum(w >> 13, 62)
+    lead = np.where(w < 0, v, 192 + high).astype(np.uint8)
+    mid = w[(w >= 0) & (high < 62)]
+    return _bundle([pack(x, 3) for x in (lead.tobytes(), (mid & 255).astype(np.uint8).tobytes(), (mid >> 8 & 31).astype(np.uint8).tobytes(), varints(w[high == 62]))])
+
+
+def _unsymbols(data: bytes) -> np.ndarray:
+    lead, low, high, rest = (unpack(x) for x in _unbundle(data))
+    lead = np.frombuffer(lead, np.uint8).astype(np.int64)
+    out = lead.copy()
+    mid = (lead >= 192) & (lead < 254)
+    out[mid] = 192 + (lead[mid] - 192 << 13 | np.frombuffer(high, np.uint8).astype(np.int64) << 8 | np.frombuffer(low, np.uint8))
+    out[lead == 254] = 192 + unvarints(rest).astype(np.int64)
+    return out
+
+
 def _bundle(parts: list[bytes]) -> bytes:
     return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
@@ -79,38 +101,44 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text
 
     def tokens(batches):
         find, made = regex.compile(pattern).findall, 0
-        for table in cut(batches, at, BLOCK):
-            counts, slots = [], {}
-            lists = []
-            for x in table.column(at):
-                found = find(x.as_py() or "")
-                counts.append(len(found))
-                for w in found:
-                    if w not in slots:
-                        slots[w] = len(slots)
-                lists.append(np.fromiter(map(slots.__getitem__, found), np.int64, len(found)))
-            sequence = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            often = np.argsort(-np.bincount(sequence, minlength=len(slots)), kind="stable")  # small numbers for common words
-            number = np.empty(len(slots), np.int64)
-            number[often] = np.arange(len(slots))
+        slots: dict[str, int] = {}
+        part = total = 0
+
+        def row(bucket, words, kept, part):
+            chain = (TaskContext.get().partitionId() << 33) + made
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chain], pa.int64()), pa.array([part], pa.int32()), pa.array([bucket], pa.int64()), pa.array([words], pa.binary()), pa.array([kept], pa.binary())],
+                names=["chain", "part", "bucket", "words", "kept"],
+            )
+
+        def finish():
             words = list(slots)
-            words = [words[i] for i in often.tolist()]
             bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
-            parts = [x for x in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(x)]
-            kept = _bundle([
-                table_bytes(table.drop_columns([table.schema.names[at]])) if table.num_columns > 1 else b"",
-                varints(np.array(counts)), pack(varints(number[sequence]), ZSTD), pack(_planes(bucket), ZSTD),
-            ])
-            block = (TaskContext.get().partitionId() << 33) + made
-            made += 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * (len(parts) + 1), pa.int64()), pa.array([None, *(int(bucket[x[0]]) for x in parts)], pa.int64()),
-                    pa.array([None, *(_words([words[i] for i in x.tolist()]) for x in parts)], pa.binary()), pa.array([kept] + [None] * len(parts), pa.binary()),
-                ],
-                names=["block", "bucket", "words", "kept"],
-            )
+            for x in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(x):
+                    yield row(int(bucket[x[0]]), _words([words[k] for k in x.tolist()]), None, None)
+            yield row(None, None, pack(_planes(bucket), ZSTD), -1)
+
+        for table in cut(batches, at, BLOCK):
+            counts, lists, known = [], [], len(slots)
+            for x in table.column(at):
+                text = x.as_py() or ""
+                found = find(text)
+                total += len(text)
+                counts.append(len(found))
+                lists.append(np.fromiter((slots.setdefault(w, len(slots)) for w in found), np.uint32, len(found)))
+            rest = table_bytes(table.drop_columns([table.schema.names[at]])) if table.num_columns > 1 else b""
+            # words are numbered as they come, so 0 says all of a new one; others are one more than their number
+            at_word = np.concatenate(lists).astype(np.int64)
+            new = at_word > np.maximum.accumulate(np.concatenate(([known - 1], at_word)))[:-1]
+            yield row(None, None, _bundle([rest, varints(np.array(counts)), known.to_bytes(8, "little"), _symbols(np.where(new, 0, at_word + 1))]), part)
+            part += 1
+            if total >= CHAIN:
+                yield from finish()
+                slots, part, total, made = {}, 0, 0, made + 1
+        if part:
+            yield from finish()
 
     def meet(messages: pa.Table) -> pa.Table:
         enc, known = encoding(ranks.value, pattern, vocab_path), {}
@@ -123,32 +151,37 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text
                     own = known[w] = enc.encode_ordinary(w.decode())
                 counts.append(len(own))
                 ids += own
-            replies.append(_bundle([pack(varints(np.array(counts)), ZSTD), pack(_planes(np.array(ids, np.int64)), ZSTD)]))
-        return pa.table({"block": messages.column("block"), "bucket": messages.column("bucket"), "reply": pa.array(replies, pa.binary())})
+            replies.append(_bundle([pack(varints(np.array(counts)), ZSTD), _symbols(np.array(ids, np.int64))]))
+        return pa.table({"chain": messages.column("chain"), "bucket": messages.column("bucket"), "reply": pa.array(replies, pa.binary())})
 
     def place(own: pa.Table, replies: pa.Table) -> pa.Table:
-        others, counts, slots, dealt = _unbundle(own.column("kept")[0].as_py())
-        counts, slots = unvarints(counts).astype(np.int64), unvarints(unpack(slots)).astype(np.int64)
-        order = np.argsort(_unplanes(unpack(dealt)), kind="stable")  # words as the messages have them, bucket by bucket
-        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        blocks = dict(zip(own.column("part").to_pylist(), own.column("kept")))
+        order = np.argsort(_unplanes(unpack(blocks.pop(-1).as_py())), kind="stable")  # words as the messages have them, bucket by bucket
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for _, reply in sorted(zip(replies.column("bucket").to_pylist(), replies.column("reply").to_pylist())):
             a, b = _unbundle(reply)
             sizes.append(unvarints(unpack(a)).astype(np.int64))
-            ids.append(_unplanes(unpack(b)))
+            ids.append(_unsymbols(b).astype(np.int32))
         sizes, ids = np.concatenate(sizes), np.concatenate(ids)
         size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         size[order], start[order] = sizes, np.cumsum(sizes) - sizes
-        lengths = size[slots]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        at_ = np.arange(ends[-1]) + np.repeat(start[slots] - ends[:-1], lengths)
-        offsets = ends[np.concatenate(([0], np.cumsum(counts)))]
-        made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[at_].astype(np.int32), pa.int32()))
-        return pa.Table.from_arrays([*(bytes_table(others).columns if others else []), made], names=[f.name for f in schema.fields])
-
-    packed = stored(docs.mapInArrow(tokens, "block long, bucket long, words binary, kept binary"), "pretokens")
-    replies = packed.where("bucket is not null").select("block", "bucket", "words").groupBy("bucket").applyInArrow(meet, "block long, bucket long, reply binary")
-    waiting = packed.where("kept is not null").select("block", "kept")
-    return waiting.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(place, schema)
+        out = []
+        for k in sorted(blocks):
+            others, counts, known, slots = _unbundle(blocks[k].as_py())
+            counts, slots = unvarints(counts).astype(np.int64), _unsymbols(slots) - 1
+            new = slots < 0
+            slots[new] = int.from_bytes(known, "little") + np.arange(new.sum())
+            lengths = size[slots]
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            place_of = np.arange(ends[-1]) + np.repeat(start[slots] - ends[:-1], lengths)
+            made = pa.ListArray.from_arrays(pa.array(ends[np.concatenate(([0], np.cumsum(counts)))], pa.int32()), pa.array(ids[place_of], pa.int32()))
+            out.append(pa.Table.from_arrays([*(bytes_table(others).columns if others else []), made], names=[f.name for f in schema.fields]))
+        return pa.concat_tables(out)
+
+    packed = stored(docs.mapInArrow(tokens, "chain long, part int, bucket long, words binary, kept binary"), "pretokens")
+    replies = packed.where("bucket is not null").select("chain", "bucket", "words").groupBy("bucket").applyInArrow(meet, "chain long, bucket long, reply binary")
+    waiting = packed.where("kept is not null").select("chain", "part", "kept")
+    return waiting.groupBy("chain").cogroup(replies.groupBy("chain")).applyInArrow(place, schema)
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -161,27 +194,44 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", bytes_col:
     small_batches(spark)
     encoded = without(encoded, bytes_col)
     at = encoded.columns.index(ids_col)
-    tokens = spark.sparkContext.broadcast({i: t for t, i in read_ranks(vocab_path).items()})  # bounded by the vocabulary
+    tokens = _token_table(spark, vocab_path)
 
     def rows(batches):
-        token = tokens.value.__getitem__
         for b in batches:
-            out = [None if x is None else b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) for x in (y if y.is_valid else None for y in b.column(at))]
+            out = [None if x is None else _joined(x, tokens.value) for x in _lists(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, bytes_col])
 
     return encoded.mapInArrow(rows, T.StructType([*encoded.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
-def digests(decoded: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """The other columns, and n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit) and decoded_sha256."""
-    ids_at, bytes_at = decoded.columns.index(ids_col), decoded.columns.index(bytes_col)
-    rest = [i for i in range(len(decoded.columns)) if i not in (ids_at, bytes_at)]
-    schema = T.StructType([*[decoded.schema.fields[i] for i in rest], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def _token_table(spark, vocab_path: str):
+    return spark.sparkContext.broadcast({i: t for t, i in read_ranks(vocab_path).items()})  # bounded by the vocabulary
+
+
+def _lists(column):
+    """Each row's ids as an array, or None."""
+    for x in column:
+        yield x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
+
+
+def _joined(ids: np.ndarray, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def decoded_digests(encoded: DataFrame, vocab_path: str, ids_col: str = "ids") -> DataFrame:
+    """decode() without its bytes: the other columns, and n_tokens, ids_sha256 (of the ids as little-endian unsigned
+    32-bit) and decoded_sha256. A null list counts as empty."""
+    spark = encoded.sparkSession
+    small_batches(spark)
+    encoded = without(encoded, "n_tokens", "ids_sha256", "decoded_sha256")
+    at = encoded.columns.index(ids_col)
+    rest = [i for i in range(len(encoded.columns)) if i != at]
+    schema = T.StructType([*[encoded.schema.fields[i] for i in rest], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    tokens = _token_table(spark, vocab_path)
 
     def rows(batches):
         for b in batches:
-            ids = [x.values.to_numpy(zero_copy_only=False).astype("<i4") for x in b.column(ids_at)]
-            made = [pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in b.column(bytes_at)])]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in rest], *made], names=[f.name for f in schema.fields])
+            made = [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(_joined(x, tokens.value)).hexdigest()) for x in (np.zeros(0, np.int64) if y is None else y for y in _lists(b.column(at)))]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in rest], pa.array([m[0] for m in made], pa.int64()), *(pa.array([m[k] for m in made], pa.string()) for k in (1, 2))], names=[f.name for f in schema.fields])
 
-    return decoded.mapInArrow(rows, schema)
+    return encoded.mapInArrow(rows, schema)

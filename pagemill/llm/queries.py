@@ -17,7 +17,7 @@ def op1_substring_dedup(spark, sf_dir):
 
 def op2_bpe(spark, sf_dir):
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(ids, public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return bpe.decoded_digests(ids, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op3_license_scan(spark, sf_dir):

@@ -36,8 +36,15 @@ def test_varints():
     assert common.unvarints(common.varints(v[:0])).tolist() == []
 
 
-def test_bpe_round_trip(spark, enc, monkeypatch):
+def test_symbols():
+    v = np.array([0, 1, 191, 192, 193, 8383, 8384, 192 + (62 << 13) - 1, 192 + (62 << 13), 5_000_000, 0])
+    assert bpe._unsymbols(bpe._symbols(v)).tolist() == v.tolist() and len(bpe._unsymbols(bpe._symbols(v[:0]))) == 0
+
+
+@pytest.mark.parametrize("chain", [1, 20_000, 1 << 20])
+def test_bpe_round_trip(spark, enc, monkeypatch, chain):
     monkeypatch.setattr(bpe, "BLOCK", 3000)
+    monkeypatch.setattr(bpe, "CHAIN", chain)
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choice("ab cé\n'1.") for _ in range(rng.randrange(400))) for _ in range(60)]
     df = spark.createDataFrame([(t, i, "q", 3) for i, t in enumerate(texts)] + [(None, None, None, None)], "text string, doc_id long, ids string, bucket int").repartition(3)
@@ -45,7 +52,7 @@ def test_bpe_round_trip(spark, enc, monkeypatch):
     got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in out.collect()}
     assert got.pop(None) == ([], b"")
     assert got == {i: (enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
-    digest = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(out).collect()}
+    digest = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.decoded_digests(out.drop("decoded"), RANKS).collect()}
     for i, t in enumerate(texts):
         ids = enc.encode_ordinary(t or "")
         assert digest[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
