@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import ACTION_GROUP, ACTION_RANK, CONDITION_MODIFIER, HORIZONTAL, IMPACT_CAP, QUALITY_ISSUES, ROTATIONS, SECONDARY_WEIGHT, SEVERITY_IMPACT, SUCCESS_FLOOR, UPSIDE_DOWN
+from ..schemas import ACTION_GROUP, ACTION_RANK, CONDITION_MODIFIER, FAILED_QUALITY, GOOD_NOTE, HORIZONTAL, IMPACT_CAP, NOTES, QUALITY_EVIDENCE, QUALITY_ISSUES, QUALITY_NOTE, ROTATIONS, SECONDARY_WEIGHT, SEVERITY_IMPACT, SUCCESS_FLOOR, TURN_NAMES, TURN_NOTE, UPSIDE_DOWN
 from ..sources.tables import mapped
 
 TURNS = (*ROTATIONS, "skewed")
@@ -57,7 +57,7 @@ def of_skew(angle: Column, confidence: Column) -> Column:
 def of_quality(contrast: Column, brightness: Column, sharpness: Column, noise: Column) -> Column:
     """Quality conditions of a page as an array, in a fixed order."""
     low = {"low_contrast": (contrast < 0.4, F.when(contrast < 0.2, "severe").otherwise("moderate"), contrast), "dark_image": (brightness < 0.3, F.lit("moderate"), brightness), "blurry_image": (sharpness < 0.3, F.lit("moderate"), sharpness), "noisy_image": (noise > 0.6, F.lit("moderate"), noise)}
-    return F.array_compact(F.array(*[made(ok, QUALITY_ISSUES[k][0], severity, 0.8, F.concat(F.lit(f"{k} "), two(value)), [QUALITY_ISSUES[k][1]]) for k, (ok, severity, value) in low.items()]))
+    return F.array_compact(F.array(*[made(ok, QUALITY_ISSUES[k][0], severity, 0.8, F.format_string(QUALITY_EVIDENCE[k], two(value)), [QUALITY_ISSUES[k][1]]) for k, (ok, severity, value) in low.items()]))
 
 
 def of_content(handwriting: Column, handwriting_score: Column, columns: Column, layout: Column) -> Column:
@@ -69,8 +69,9 @@ def of_content(handwriting: Column, handwriting_score: Column, columns: Column,
 
 
 def layout_complexity(contours: Column, area_mean: Column, area_std: Column) -> Column:
+    """area_mean and area_std are over areas of more than 100; null where there is none, which is simple."""
     cv = F.coalesce(F.try_divide(area_std, area_mean), F.lit(0.0))
-    return F.when(contours == 0, "simple").when((contours < 20) & (cv < 1), "simple").when((contours < 100) & (cv < 2), "moderate").otherwise("complex")
+    return F.when((contours == 0) | area_mean.isNull(), "simple").when((contours < 20) & (cv < 1), "simple").when((contours < 100) & (cv < 2), "moderate").otherwise("complex")
 
 
 def by_page(conditions: DataFrame, *keys: str) -> DataFrame:
@@ -122,13 +123,10 @@ def assessed(pages: DataFrame) -> DataFrame:
 def special_notes(found: Column) -> Column:
     """Handling notes joined by "; ", or null."""
     has = lambda n: F.array_contains(names(found), n)
-    turn = F.transform(F.filter(names(found), lambda n: n.isin(*ROTATIONS)), lambda n: mapped({"rotated_90_cw": "90 CW", "rotated_90_ccw": "90 CCW", "rotated_180": "180"}, n))
+    turn = F.transform(F.filter(names(found), lambda n: n.isin(*ROTATIONS)), lambda n: mapped(TURN_NAMES, n))
     poor = F.size(F.filter(names(found), lambda n: n.isin("poor_quality", "blurry", "low_contrast", "dark_background")))
-    notes = F.array_compact(F.array(
-        F.when(has("handwritten"), "handwriting: special recognition"), F.when(has("multi_column"), "several columns: read by column"), F.when(has("complex_layout"), "complex layout: verify"),
-        F.when(F.size(turn) > 0, F.concat(F.lit("rotate: "), F.array_join(turn, ", "))), F.when(poor > 2, "several quality issues: preprocess with care"),
-    ))
-    return F.when(F.size(notes) > 0, F.array_join(notes, "; "))
+    notes = F.array_compact(F.array(*[F.when(has(n), note) for n, note in NOTES.items()], F.when(F.size(turn) > 0, F.concat(F.lit(TURN_NOTE), F.array_join(turn, ", "))), F.when(poor > 2, QUALITY_NOTE)))
+    return F.when(F.size(found) == 0, GOOD_NOTE).when(F.size(notes) > 0, F.array_join(notes, "; "))
 
 
 def _score(text: Column, phrases) -> Column:
@@ -150,7 +148,7 @@ def repaired(pages: DataFrame) -> DataFrame:
     out = pages.withColumn("_last", last).withColumn("was_repaired", F.coalesce(wrong, F.lit(False)))
     half = lambda c: F.struct(
         c["pos"].alias("pos"), F.lit("rotated_180").alias("condition"), F.col("_last.severity").alias("severity"), F.least(F.lit(0.9), F.col("_last.confidence") + 0.1).alias("confidence"),
-        F.concat(F.lit("corrected: "), F.col("_last.evidence")).alias("evidence"), F.array(F.lit("rotate_180")).alias("actions"), c["is_primary"].alias("is_primary"),
+        F.concat_ws("", F.lit("Corrected from "), F.col("_last.condition"), F.lit(": "), F.col("_last.evidence")).alias("evidence"), F.array(F.lit("rotate_180")).alias("actions"), c["is_primary"].alias("is_primary"),
     )
     changed = F.when(F.col("was_repaired"), F.transform("found", lambda c: F.when(c["condition"].isin("rotated_90_cw", "rotated_90_ccw"), half(c)).otherwise(c))).otherwise(F.col("found"))
     out = out.withColumn("found", changed).drop("_last")
@@ -195,6 +193,12 @@ def first_is_action(recommendations: Column) -> Column:
 def fallback(pages: DataFrame) -> DataFrame:
     """What stands in for an assessment that failed."""
     return pages.withColumns({
-        "quality": F.lit("Unknown"), "issue": F.lit("poor_quality"), "severity": F.lit("moderate"), "confidence": F.lit(0.3), "priority": F.lit(3), "success_rate": F.lit(0.5),
+        "quality": F.lit(FAILED_QUALITY), "issue": F.lit("poor_quality"), "severity": F.lit("moderate"), "confidence": F.lit(0.3), "priority": F.lit(3), "success_rate": F.lit(0.5),
         "recommendations": F.array(F.lit("enhance_contrast"), F.lit("denoise"), F.lit("sharpen")),
     })
+
+
+def readable(pages: DataFrame) -> DataFrame:
+    """Enhanced assessments for people: success in percent, and the last primary condition that turns or skews a page."""
+    turned = F.filter("found", lambda c: c["is_primary"] & c["condition"].isin(*TURNS))
+    return pages.withColumns({"success": F.concat(F.call_function("format_number", F.col("success_rate") * 100, F.lit("0.0")), F.lit("%")), "orientation": F.try_element_at(turned, F.lit(-1))["condition"]})

@@ -149,13 +149,13 @@ def column_count(pixels: DataFrame) -> DataFrame:
     return ids.join(wide.groupBy("image_id").agg(F.count(F.lit(1)).alias("c")), "image_id", "left").select("image_id", F.greatest(F.coalesce("c", F.lit(1)), F.lit(1)).alias("columns"))
 
 
-def edge_vote(lines: DataFrame, extent: Column) -> DataFrame:
-    """(page_id, angle): centre of the fullest of 36 bins of the lines' angles (degrees, -90 to 90), each line counted
+def edge_vote(lines: DataFrame, extent: Column, most: int = 200) -> DataFrame:
+    """(page_id, angle) from a page's first lines (pos from 0): centre of the fullest of 36 bins of the lines' angles (degrees, -90 to 90), each line counted
     int(10 |rho| / extent) times; the first bin on a tie, 0 without a vote."""
     folded = F.when(F.col("deg") > 90, F.col("deg") - 180).otherwise(F.col("deg"))
     bins = F.least(F.floor((folded + 90) / 5), F.lit(35))
     w = F.floor(F.abs(F.col("rho")) * 10 / extent)
-    votes = lines.select("page_id", bins.alias("bin"), w.alias("w")).groupBy("page_id", "bin").agg(F.sum("w").alias("w"))
+    votes = lines.select("page_id", bins.alias("bin"), F.when(F.col("pos") < most, w).otherwise(0).alias("w")).groupBy("page_id", "bin").agg(F.sum("w").alias("w"))
     best = votes.groupBy("page_id").agg(F.max_by("bin", F.struct("w", -F.col("bin"))).alias("bin"), F.sum("w").alias("all"))
     return best.select("page_id", F.when(F.col("all") > 0, F.col("bin") * 5 - 87.5).otherwise(0.0).alias("angle"))
 
@@ -173,22 +173,23 @@ def skew(lines: DataFrame) -> DataFrame:
 
 def text_orientation(parts: DataFrame, most: int = 100) -> DataFrame:
     """(page_id, angle): area-weighted mean of the angles, folded to 45 degrees, of a page's first parts of usable size
-    (area over 50 to under 20000, sides over 0.1 to under 10). parts: page_id, pos, area, w, h, deg."""
+    (area over 50 to under 20000, sides over 0.1 to under 10); 0 without one. parts: page_id, pos, area, w, h, deg."""
     side = F.try_divide(F.col("w"), F.col("h"))
-    ok = parts.where((F.col("area") > 50) & (F.col("area") < 20000) & (side > 0.1) & (side < 10))
-    first = ok.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= most)
+    ok = F.coalesce((F.col("area") > 50) & (F.col("area") < 20000) & (side > 0.1) & (side < 10), F.lit(False))
+    nth = F.sum(ok.cast("int")).over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    used = F.when(ok & (F.col("nth") <= most), F.col("area"))
     fold = F.when(F.col("deg") > 45, F.col("deg") - 90).when(F.col("deg") < -45, F.col("deg") + 90).otherwise(F.col("deg"))
-    return first.groupBy("page_id").agg(F.try_divide(F.sum(fold * F.col("area")), F.sum("area")).alias("angle"))
+    return parts.withColumn("nth", nth).groupBy("page_id").agg(F.coalesce(F.try_divide(F.sum(fold * used), F.sum(used)), F.lit(0.0)).alias("angle"))
 
 
 def handwriting(parts: DataFrame) -> DataFrame:
     """(page_id, score, handwritten) from parts of area over 20 to under 5000 (area, perimeter, w, h): irregular outlines
-    and varied sides speak for it."""
-    ok = parts.where((F.col("area") > 20) & (F.col("area") < 5000) & (F.col("perimeter") > 0) & (F.col("w") > 0) & (F.col("h") > 0))
-    ratio = F.col("w") / F.col("h")
-    each = ok.groupBy("page_id").agg(F.avg(1 - 4 * F.pi() * F.col("area") / (F.col("perimeter") * F.col("perimeter"))).alias("irr"), F.avg(F.least(ratio, 1 / ratio)).alias("var"))
+    and varied sides speak for it; 0 without such a part."""
+    ok = (F.col("area") > 20) & (F.col("area") < 5000) & (F.col("perimeter") > 0)
+    ratio = F.when((F.col("w") > 0) & (F.col("h") > 0), F.col("w") / F.col("h"))
+    each = parts.groupBy("page_id").agg(F.avg(F.when(ok, 1 - 4 * F.pi() * F.col("area") / (F.col("perimeter") * F.col("perimeter")))).alias("irr"), F.avg(F.when(ok, F.coalesce(F.least(ratio, 1 / ratio), F.lit(0.0)))).alias("var"))
     score = F.least(F.greatest(0.7 * F.col("irr") + 0.3 * (1 - F.col("var")), F.lit(0.0)), F.lit(1.0))
-    return each.select("page_id", score.alias("score"), (score > 0.3).alias("handwritten"))
+    return each.select("page_id", F.when(F.col("irr").isNull(), 0.0).otherwise(score).alias("score"), F.coalesce(F.col("irr").isNotNull() & (score > 0.3), F.lit(False)).alias("handwritten"))
 
 
 def resized(width: Column, height: Column, most: int = 4096) -> tuple[Column, Column]:

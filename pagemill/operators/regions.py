@@ -112,15 +112,20 @@ def cross_page(blocks: DataFrame) -> DataFrame:
     )
 
 
-def draw_list(regions: DataFrame, width: int, height: int, colours: dict[str, str], line: int = 3) -> DataFrame:
-    """What a renderer draws for each region: pixel box, colour, label, line width by confidence, label place (above the
-    box, or below its top edge where that is off the page)."""
+def draw_list(regions: DataFrame, width: int, height: int, colours: dict[str, str], line: int = 3, text: int = 11) -> DataFrame:
+    """What a renderer draws for each region (pos: its place on the page, from 0): pixel box, colour, label, line width by
+    confidence, and the label's top edge: above the box, but on the page."""
     from ..sources.tables import mapped
 
     box = G.clamped_box(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(width), F.lit(height))
-    out = regions.withColumns(box).withColumns({
-        "colour": mapped(colours, F.col("region_type"), "gray"), "label": F.concat(F.col("region_type"), F.lit("_"), F.col("reading_order").cast("string"), F.lit(" | "), F.call_function("format_number", F.col("confidence"), F.lit("0.00"))),
-        "line_width": F.greatest(F.lit(1), (F.lit(line) * F.col("confidence")).cast("int")),
+    label = F.concat(F.col("region_type"), F.lit("_"), F.col("pos").cast("string"), F.lit(" | "), F.call_function("format_number", F.col("confidence"), F.lit("0.00")))
+    return regions.withColumns(box).withColumns({
+        "colour": mapped(colours, F.col("region_type"), "#000000"), "label": label, "line_width": F.greatest(F.lit(1), (F.lit(line) * F.col("confidence")).cast("int")),
+        "label_y": F.greatest(F.lit(0), F.col("py") - text - 5),
     })
-    top = F.col("py") - 20
-    return out.withColumn("label_y", F.when(top < 0, F.col("py")).otherwise(top))
+
+
+def detector_label_top(top: Column, text: Column) -> Column:
+    """Top edge of a detector's label: over the box, or below its upper edge where that is off the page."""
+    over = top - text - 10
+    return F.when(over < 0, top + 10).otherwise(over)

@@ -15,7 +15,7 @@ from ..operators import inference as L
 from ..operators import knowledge as N
 from ..operators import pixels as J
 from ..operators import regions as R
-from ..schemas import ACTION_GROUP, ACTION_RANK, CONDITION_MODIFIER, HORIZONTAL, REGION_TYPES, ROTATIONS, SEVERITY_IMPACT, UPSIDE_DOWN
+from ..schemas import ACTION_GROUP, ACTION_RANK, CONDITION_MODIFIER, HORIZONTAL, NOTES, QUALITY_NOTE, ROTATIONS, SEVERITY_IMPACT, TURN_NAMES, TURN_NOTE, TYPE_COLOURS, UPSIDE_DOWN
 from ..sources import sinks
 from ..sources import tables as S
 from .adapter_sql import case, listed, sql
@@ -254,14 +254,11 @@ def confidence_levels(spark, sf_dir):
     return S.page_regions(spark, sf_dir).select("page_id", "reading_order", TX.confidence_level(F.col("confidence")).alias("level"))
 
 
-COLOURS = {"title": "red", "paragraph": "blue", "header": "green", "footer": "purple", "list": "orange"}
-
-
-@query(sql("page_regions", select=f"""SELECT page_id, reading_order, px, py, 100 AS pw, 12 AS ph, {case(COLOURS, "region_type", "'gray'")} AS colour, region_type || '_' || reading_order || ' | ' || printf('%.2f', confidence) AS label, greatest(1, trunc(3 * confidence)::INT) AS line_width,
-CASE WHEN py < 20 THEN py ELSE py - 20 END AS label_y FROM (SELECT *, 20 AS px, trunc((reading_order % 20)::DOUBLE / 32 * 400)::INT AS py FROM page_regions)"""))
+@query(sql("page_regions", select=f"""SELECT page_id, reading_order, px, py, 100 AS pw, 12 AS ph, {case(TYPE_COLOURS, "region_type", "'#000000'")} AS colour, region_type || '_' || (reading_order - 1) || ' | ' || printf('%.2f', confidence) AS label, greatest(1, trunc(3 * confidence)::INT) AS line_width,
+greatest(0, py - 16) AS label_y FROM (SELECT *, 20 AS px, trunc((reading_order % 20)::DOUBLE / 32 * 400)::INT AS py FROM page_regions)"""))
 def draw_list(spark, sf_dir):
-    p = S.page_regions(spark, sf_dir).withColumns({"x": F.lit(0.1), "y": (F.col("reading_order") % 20).cast("double") / 32, "w": F.lit(0.5), "h": F.lit(0.03125)})
-    return R.draw_list(p, 200, 400, COLOURS).select("page_id", "reading_order", "px", "py", "pw", "ph", "colour", "label", "line_width", "label_y")
+    p = S.page_regions(spark, sf_dir).withColumns({"pos": F.col("reading_order") - 1, "x": F.lit(0.1), "y": (F.col("reading_order") % 20).cast("double") / 32, "w": F.lit(0.5), "h": F.lit(0.03125)})
+    return R.draw_list(p, 200, 400, TYPE_COLOURS).select("page_id", "reading_order", "px", "py", "pw", "ph", "colour", "label", "line_width", "label_y")
 
 
 @query("""WITH p AS (SELECT o_custkey AS doc_id, (o_orderkey % 13) AS n_regions, (o_orderkey % 4) AS n_tables, least(o_orderkey % 4, o_orderkey % 3) AS n_ok FROM orders)
@@ -609,17 +606,20 @@ def _parts(spark, sf_dir):
     return li.select(F.col("l_orderkey").alias("page_id"), pos.alias("pos"), F.col("l_extendedprice").alias("area"), (F.col("l_quantity") * 20).alias("perimeter"), F.col("l_quantity").alias("w"), (F.col("l_suppkey") % 40 + 1).cast("double").alias("h"), (F.col("l_partkey") % 180 - 90).cast("double").alias("deg"))
 
 
-@query(f"""SELECT page_id, round(sum(f * area) / sum(area), 6) AS angle FROM (SELECT *, CASE WHEN deg > 45 THEN deg - 90 WHEN deg < -45 THEN deg + 90 ELSE deg END AS f, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM {PARTS} WHERE area > 50 AND area < 20000 AND w / h > 0.1 AND w / h < 10) WHERE n <= 100 GROUP BY page_id""")
+USABLE = "area > 50 AND area < 20000 AND w / h > 0.1 AND w / h < 10"
+
+
+@query(f"""SELECT page_id, round(coalesce(sum(f * area) FILTER (ok AND n <= 100) / sum(area) FILTER (ok AND n <= 100), 0), 6) AS angle FROM (SELECT *, {USABLE} AS ok, CASE WHEN deg > 45 THEN deg - 90 WHEN deg < -45 THEN deg + 90 ELSE deg END AS f, count(*) FILTER ({USABLE}) OVER (PARTITION BY page_id ORDER BY pos) AS n FROM {PARTS}) GROUP BY page_id""")
 def text_orientation(spark, sf_dir):
     return J.text_orientation(_parts(spark, sf_dir)).select("page_id", *r6("angle"))
 
 
-@query(f"""SELECT page_id, round(score, 6) AS score, score > 0.3 AS handwritten FROM (SELECT page_id, least(greatest(0.7 * avg(1 - 4 * pi() * area / (perimeter * perimeter)) + 0.3 * (1 - avg(least(w / h, 1 / (w / h)))), 0), 1) AS score FROM {PARTS} WHERE area > 20 AND area < 5000 AND perimeter > 0 GROUP BY page_id)""")
+@query(f"""SELECT page_id, round(coalesce(score, 0), 6) AS score, coalesce(score > 0.3, FALSE) AS handwritten FROM (SELECT page_id, CASE WHEN count(*) FILTER (ok) > 0 THEN least(greatest(0.7 * avg(1 - 4 * pi() * area / (perimeter * perimeter)) FILTER (ok) + 0.3 * (1 - avg(least(w / h, 1 / (w / h))) FILTER (ok)), 0), 1) END AS score FROM (SELECT *, area > 20 AND area < 5000 AND perimeter > 0 AS ok FROM {PARTS}) GROUP BY page_id)""")
 def handwriting_score(spark, sf_dir):
     return J.handwriting(_parts(spark, sf_dir)).select("page_id", *r6("score"), "handwritten")
 
 
-@query(f"""SELECT page_id, CASE WHEN n = 0 THEN 'simple' WHEN n < 20 AND cv < 1 THEN 'simple' WHEN n < 100 AND cv < 2 THEN 'moderate' ELSE 'complex' END AS layout FROM (SELECT page_id, count(*) * 4 AS n, coalesce(stddev_pop(area) FILTER (area > 100) / avg(area) FILTER (area > 100), 0) AS cv FROM {PARTS} GROUP BY page_id)""")
+@query(f"""SELECT page_id, CASE WHEN n = 0 OR m IS NULL THEN 'simple' WHEN n < 20 AND cv < 1 THEN 'simple' WHEN n < 100 AND cv < 2 THEN 'moderate' ELSE 'complex' END AS layout FROM (SELECT page_id, count(*) * 4 AS n, avg(area) FILTER (area > 100) AS m, coalesce(stddev_pop(area) FILTER (area > 100) / avg(area) FILTER (area > 100), 0) AS cv FROM {PARTS} GROUP BY page_id)""")
 def layout_complexity(spark, sf_dir):
     big = F.when(F.col("area") > 100, F.col("area"))
     s = _parts(spark, sf_dir).groupBy("page_id").agg((F.count(F.lit(1)) * 4).alias("n"), F.avg(big).alias("m"), F.stddev_pop(big).alias("s"))
@@ -699,11 +699,12 @@ def preprocess_summary(spark, sf_dir):
     return a.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("action").isin("rotate_90_cw", "rotate_90_ccw", "rotate_180", "deskew")).alias("rotations"))
 
 
-NOTES = f"""list_filter([CASE WHEN bool_or(condition = 'handwritten') THEN 'handwriting: special recognition' END, CASE WHEN bool_or(condition = 'multi_column') THEN 'several columns: read by column' END, CASE WHEN bool_or(condition = 'complex_layout') THEN 'complex layout: verify' END,
-'rotate: ' || string_agg({case({"rotated_90_cw": "90 CW", "rotated_90_ccw": "90 CCW", "rotated_180": "180"}, "condition")}, ', ' ORDER BY pos) FILTER ({TURNED}), CASE WHEN count(*) FILTER (condition IN ('poor_quality', 'blurry', 'low_contrast', 'dark_background')) > 2 THEN 'several quality issues: preprocess with care' END], lambda e: e IS NOT NULL)"""
+NOTE_LIST = ", ".join(f"CASE WHEN bool_or(condition = '{n}') THEN '{note}' END" for n, note in NOTES.items())
+NOTE_SQL = f"""list_filter([{NOTE_LIST}, '{TURN_NOTE}' || string_agg({case(TURN_NAMES, "condition")}, ', ' ORDER BY pos) FILTER ({TURNED}),
+CASE WHEN count(*) FILTER (condition IN ('poor_quality', 'blurry', 'low_contrast', 'dark_background')) > 2 THEN '{QUALITY_NOTE}' END], lambda e: e IS NOT NULL)"""
 
 
-@query(sql("conditions", select=f"SELECT page_id, CASE WHEN len(n) > 0 THEN array_to_string(n, '; ') END AS notes FROM (SELECT page_id, {NOTES} AS n FROM conditions GROUP BY page_id)"))
+@query(sql("conditions", select=f"SELECT page_id, CASE WHEN len(n) > 0 THEN array_to_string(n, '; ') END AS notes FROM (SELECT page_id, {NOTE_SQL} AS n FROM conditions GROUP BY page_id)"))
 def special_notes(spark, sf_dir):
     return _found(spark, sf_dir).select("page_id", C.special_notes(F.col("found")).alias("notes"))
 

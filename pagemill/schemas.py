@@ -45,7 +45,27 @@ SYMBOLS = (("✓", "[CE_MARK]"), ("Δ", "[DELTA]"), ("Ra", "[ROUGHNESS_Ra]"))
 DOCUMENT_CLASSES = ("Technical Manual", "Purchase Order", "Financial Report", "Contract", "Conference Paper", "Other")
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".tiff")
 QUALITY_ISSUES = {"low_contrast": ("low_contrast", "enhance_contrast"), "dark_image": ("dark_background", "gamma_correction"), "blurry_image": ("blurry", "sharpen"), "noisy_image": ("poor_quality", "denoise")}
-PRESETS = {"intermediate": ("enhance_contrast", "denoise", "sharpen", "deskew"), "advanced": ("enhance_contrast", "denoise", "sharpen", "deskew", "remove_shadows", "crop_margins", "binarize")}
+PRESETS = {
+    "intermediate": ("enhance_contrast", "denoise", "sharpen", "crop_margins"),
+    "advanced": ("deskew", "enhance_contrast", "remove_shadows", "denoise", "sharpen", "adaptive_threshold", "crop_margins"),
+}
+NOTES = {
+    "handwritten": "Contains handwritten content - may require specialized OCR settings",
+    "multi_column": "Multi-column layout detected - consider column-aware processing",
+    "complex_layout": "Complex layout detected - may require manual verification",
+}
+TURN_NOTE, TURN_NAMES = "Rotation correction needed: ", {"rotated_90_cw": "90° CW", "rotated_90_ccw": "90° CCW", "rotated_180": "180°"}
+QUALITY_NOTE, GOOD_NOTE = "Multiple quality issues detected - may require careful preprocessing", "Document appears to be in good condition"
+FAILED_QUALITY = "Unable to assess - analysis failed"
+QUALITY_EVIDENCE = {
+    "low_contrast": "Low contrast detected (score: %s)",
+    "dark_image": "Dark background detected (score: %s)",
+    "blurry_image": "Blur detected (sharpness score: %s)",
+    "noisy_image": "High noise level detected (level: %s)",
+}
+TYPE_COLOURS = {
+    "text": "#2E86C1", "table": "#E74C3C", "image": "#27AE60", "header": "#8E44AD", "footer": "#F39C12", "title": "#C0392B", "caption": "#16A085", "sidebar": "#7D3C98", "other": "#95A5A6",
+}
 
 BBOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y", "width", "height")])
 REGION = T.StructType(

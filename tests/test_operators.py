@@ -54,7 +54,7 @@ def test_repair_keeps_the_half_turn_beside_a_skew(spark):
 def test_assessments(spark):
     none = spark.createDataFrame([(1, [])], found(spark, []).schema)
     row = C.assessed(none).first()
-    assert (row.quality, row.priority, row.success_rate, row.recommendations, row.notes) == ("Good", 5, 0.9, ["no_action"], None)
+    assert (row.quality, row.priority, row.success_rate, row.recommendations, row.notes) == ("Good", 5, 0.9, ["no_action"], schemas.GOOD_NOTE)
     f = found(spark, [("rotated_180", "severe", 0.9, True, "", "rotate_180"), ("blurry", "moderate", 0.8, False, "", "sharpen"), ("blurry", "mild", 0.5, False, "", "sharpen")])
     row = C.assessed(f).first()
     assert (row.quality, row.priority, row.success_rate, row.recommendations) == ("Poor", 1, 0.6, ["rotate_180", "sharpen"])
@@ -64,6 +64,8 @@ def test_assessments(spark):
     order = one(spark, C.grouped_order(F.array(*map(F.lit, ["binarize", "unknown", "sharpen", "rotate_180", "sharpen"]))).alias("g"), C.ranked_order(F.array(*map(F.lit, ["binarize", "rotate_90_cw", "rotate_180", "rotate_90_ccw"]))).alias("r"))
     assert order.g == ["rotate_180", "sharpen", "binarize", "unknown"] and order.r == ["rotate_180", "rotate_90_ccw", "rotate_90_cw", "binarize"]
     assert C.fallback(none).first().priority == 3
+    row = C.readable(C.enhanced(f)).first()
+    assert row.success == f"{(1 - impact) * 100:.1f}%" and row.orientation == "rotated_180"
 
 
 def test_table_grid_with_spans(spark):
@@ -163,6 +165,23 @@ def test_moving_average_is_a_convolution(spark, n):
     assert np.allclose([r.smooth for r in J.moving_average(df).orderBy("x").collect()], want)
 
 
+def test_sharpening_and_presets():
+    a = np.random.default_rng(3).integers(0, 256, (6, 7)).astype(np.uint8)
+    wide = np.pad(a.astype(int), 1, mode="reflect")
+    want = np.array([[9 * wide[y, x] - (wide[y - 1 : y + 2, x - 1 : x + 2].sum() - wide[y, x]) for x in range(1, 8)] for y in range(1, 7)]).clip(0, 255)
+    assert (K.crisp(a) == want).all() and (K.sharpen(a) == np.rint(0.3 * a + 0.7 * want)).all()
+    assert K.basic(a).shape == a.shape and set(schemas.PRESETS["advanced"]) <= set(K.KERNELS)
+
+
+def test_parts_of_pages_without_any_use(spark):
+    p = spark.createDataFrame([(1, 1, 10.0, 8.0, 1.0, 1.0, 5.0), (2, 1, 100.0, 40.0, 4.0, 2.0, 80.0), (2, 2, 300.0, 80.0, 4.0, 2.0, -20.0)], "page_id int, pos int, area double, perimeter double, w double, h double, deg double")
+    assert {r.page_id: r.angle for r in J.text_orientation(p).collect()} == {1: 0.0, 2: pytest.approx((-10 * 100 - 20 * 300) / 400)}
+    got = {r.page_id: (r.score, r.handwritten) for r in J.handwriting(p).collect()}
+    assert got[1] == (0.0, False) and got[2][1]
+    row = one(spark, C.layout_complexity(F.lit(50), F.lit(None).cast("double"), F.lit(None).cast("double")).alias("a"), C.layout_complexity(F.lit(50), F.lit(1.0), F.lit(1.5)).alias("b"), R.detector_label_top(F.lit(5), F.lit(10)).alias("t"))
+    assert tuple(row) == ("simple", "moderate", 15)
+
+
 def test_action_engine(spark):
     a = np.arange(12, dtype=np.uint8).reshape(3, 4)
     rows = [(1, 3, 4, bytearray(a.tobytes()), ["rotate_90_cw", "nothing", "broken", "rotate_90_ccw"]), (2, 3, 4, bytearray(b"short"), ["rotate_180"]), (3, 3, 4, None, None), (4, 3, 4, bytearray(a.tobytes()), None)]
