@@ -63,3 +63,12 @@ def overlaps(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def tenths(x: Column, w: Column) -> Column:
     """The tenths of the page's width that a header reaches over, as an array."""
     return F.sequence((x * 10).cast("int"), ((x + w) * 10).cast("int"))
+
+
+def large(w: Column, h: Column, most: int = 10000) -> Column:
+    """Whether a box counts as large: its area times 100 over most (never so for relative boxes)."""
+    return w * h * 100 > most
+
+
+def aspect(width: Column, height: Column) -> Column:
+    return F.try_divide(width, height)

@@ -143,3 +143,22 @@ def model_triplets(rows: DataFrame, provider: type[inference.Provider]) -> DataF
     good = N.resolved(entities, relations).select(F.col("doc_id").alias("table_id"), F.col("subject_name").alias("subject"), "predicate", F.col("object_name").alias("object"), F.lit("model").alias("method"))
     rest = rows.join(answered.where("source <> 'model'").select("table_id"), "table_id", "left_semi")
     return good.unionByName(N.rule_triplets_of_maps(rest).select("table_id", "subject", "predicate", "object", F.lit("rules").alias("method")))
+
+
+def classify(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Recognised lines (document, page_number, line_number, text) -> document, text, doc_class."""
+    return inference.classified(files.document_texts(files.recognized(lines)))
+
+
+def region_texts(regions: DataFrame, provider: type[inference.Provider]) -> DataFrame:
+    """Texts of the text regions of layouts (path, region_id, region_type, reading_order): path, region_id, extracted_text,
+    confidence. Where a provider's answer can't be parsed, its raw text is dealt out by blank lines; where there is none,
+    regions have no text."""
+    own = R.text_regions(regions)
+    asked = own.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "region_id"))), lambda s: s["region_id"]).alias("ids"))
+    answered = models.ask(asked, "region_text", prompts.region_text(F.col("ids")), provider)
+    good = answered.where("source = 'model'").select("path", F.explode("answer.texts").alias("t")).select("path", "t.region_id", "t.extracted_text", "t.confidence")
+    failed = answered.where("source <> 'model' and raw is not null")
+    places = failed.select(F.col("path").alias("doc_id"), F.posexplode("ids").alias("pos", "region_id"))
+    parts = R.parts_for_regions(places, failed.select(F.col("path").alias("doc_id"), F.col("raw").alias("text")))
+    return good.unionByName(parts.select(F.col("doc_id").alias("path"), "region_id", "extracted_text", "confidence"))

@@ -54,7 +54,8 @@ def saved_responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 class PdfPages(DataSource):
-    """spark.read.format("pdf_pages"): one row per page of PDF files, as gray pixels. Needs a PDF library on executors;
+    """spark.read.format("pdf_pages"): one row per page of PDF files, as gray pixels, sharpened unless the
+    option sharpen is false. Needs a PDF library on executors;
     without one, or on an unreadable file, a file has no pages."""
 
     @classmethod
@@ -76,11 +77,16 @@ class PdfFile(InputPartition):
 class PdfReader(DataSourceReader):
     def __init__(self, options):
         self.paths, self.dpi = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p], int(options.get("dpi") or 300)
+        self.sharpen = (options.get("sharpen") or "true").lower() == "true"
 
     def partitions(self):
         return [PdfFile(p) for p in self.paths]
 
     def read(self, partition):
+        import numpy as np
+
+        from ..operators.kernels import crisp
+
         try:
             import fitz  # absent here; any other reader can take its place
         except ImportError:
@@ -90,8 +96,9 @@ class PdfReader(DataSourceReader):
                 for i, page in enumerate(doc, 1):
                     if i > MOST_PAGES:
                         return
-                    px = page.get_pixmap(dpi=self.dpi, colorspace="gray", alpha=False)
-                    yield partition.path, i, px.height, px.width, bytes(px.samples)
+                    px = page.get_pixmap(dpi=self.dpi, colorspace="gray", alpha=False)  # without alpha: on white
+                    gray = np.frombuffer(px.samples, np.uint8).reshape(px.height, px.width)
+                    yield partition.path, i, px.height, px.width, (crisp(gray) if self.sharpen else gray).tobytes()
         except Exception:  # an unreadable file has no pages, by contract
             return
 
@@ -141,6 +148,12 @@ def recognized(lines: DataFrame) -> DataFrame:
     return lines.groupBy("document", "page_number").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("text"))
 
 
+def document_texts(pages: DataFrame) -> DataFrame:
+    """Page texts (document, page_number, text) -> one text per document, pages parted by a blank line."""
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))
+    return pages.groupBy("document").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "\n\n").alias("text"))
+
+
 def writable(spark: SparkSession, path: str) -> bool:
     """Whether a folder can be made and written, tried on the cluster's own file system."""
     jvm = spark.sparkContext._jvm

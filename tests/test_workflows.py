@@ -113,3 +113,25 @@ def test_parameters_and_best_table(spark):
             models.Parameters(**{"model": "m", "models": ("m",), **bad})
     d = spark.createDataFrame([("t", 1, 0, 0.5, 0.1, 0.1, 0.1, 0.1), ("t", 2, 0, 0.9, 0.2, 0.1, 0.1, 0.1), ("t", 3, 0, 0.9, 0.3, 0.1, 0.1, 0.1)], "table_id string, pos int, label_id int, score double, x double, y double, w double, h double")
     assert models.best_table(d).first().pos == 2
+
+
+def test_texts(spark):
+    lines = spark.createDataFrame([("d", 1, 2, "of sale"), ("d", 1, 1, "Invoice"), ("d", 2, 1, "end"), ("e", 1, 1, "x")], "document string, page_number int, line_number int, text string")
+    got = {r.document: (r.text, r.doc_class) for r in W.classify(spark, lines).collect()}
+    assert got == {"d": ("Invoice\nof sale\n\nend", "Purchase Order"), "e": ("x", "Other")}
+
+    class Reader:
+        def answer(self, requests):
+            return [json.dumps({"texts": [{"region_id": "a1", "extracted_text": "A", "confidence": 0.9}]}) if "a1" in r else "first\n\n second " if "b1" in r else None for r in requests]
+
+    rows = [("p", "a1", "title", 1), ("q", "b2", "text", 2), ("q", "b1", "text", 1), ("q", "b3", "footer", 3), ("q", "t", "table", 4), ("r", "c1", "text", 1)]
+    regions = spark.createDataFrame(rows, "path string, region_id string, region_type string, reading_order int")
+    got = {(r.path, r.region_id, r.extracted_text) for r in W.region_texts(regions, Reader).collect()}
+    assert got == {("p", "a1", "A"), ("q", "b1", "first"), ("q", "b2", "second"), ("q", "b3", "Extraction failed")}
+
+
+def test_settings(monkeypatch):
+    from pagemill.settings import Settings
+
+    monkeypatch.setenv("MAX_WORKERS", "7")
+    assert Settings().max_workers == 7 and Settings().table_confidence == 0.7
