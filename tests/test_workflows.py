@@ -135,3 +135,64 @@ def test_settings(monkeypatch):
 
     monkeypatch.setenv("MAX_WORKERS", "7")
     assert Settings().max_workers == 7 and Settings().table_confidence == 0.7
+
+
+def test_every_task_parses_and_falls_back(spark):
+    minimal = {
+        "layout": {"page_number": 1}, "table_structure": {"rows": 2}, "region_text": {"texts": []}, "condition": {"primary_issues": []}, "table_content": {"tables": [{"table_id": "x"}]}, "insights": {"insights": [{"subject": "s"}]},
+        "triplets": {"entities": []}, "document_class": {"doc_class": "Contract"}, "structure_boxes": {"detections": []}, "layout_boxes": {"detections": []}, "cell_text": {"cells": [{"row_start": 0, "row_end": 1, "col_start": 0, "col_end": 0, "text": "a"}]},
+    }
+    assert set(minimal) == set(models.TASKS)
+
+    class Echo:
+        def answer(self, requests):
+            return [r if r.startswith("{") else "no" for r in requests]
+
+    for task, body in minimal.items():
+        d = spark.createDataFrame([(1, json.dumps(body)), (2, "else")], "id int, r string")
+        got = {r.id: r.source for r in models.ask(d, task, F.col("r"), Echo).collect()}
+        assert got == {1: "model", 2: "fallback"}, task
+
+
+def test_broken_recognition_and_failed_tables(spark):
+    from pagemill.operators import grids, knowledge
+
+    raw = spark.createDataFrame([("t", 2, 4, 1, 1)], "table_id string, row_start int, row_end int, col_start int, col_end int")
+    assert grids.raw_spans(raw).first().asDict() == {"table_id": "t", "row": 2, "col": 1, "rowspan": 3, "colspan": 1}
+    row = knowledge.fallback_tables(spark.createDataFrame([("t",)], "table_id string")).first()
+    assert (row.rows, row.cols, row.structure_confidence) == (2, 2, 0.3)
+    pages = spark.createDataFrame([("a", 1), ("a", 51), ("b", 3)], "path string, page_number int")
+    assert {r.path: r.errors for r in files.pdf_errors(pages).collect()} == {"a": ["too many pages"], "b": []}
+
+
+def filtered_png(img, kinds):
+    """A PNG whose rows use the given filters."""
+    import struct
+    import zlib
+
+    h, w, size = img.shape
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[size]
+    flat, raw = img.reshape(h, w * size).astype(int), b""
+    for y in range(h):
+        kind = kinds[y % len(kinds)]
+        line = bytearray([kind])
+        for i in range(w * size):
+            a = flat[y, i - size] if i >= size else 0
+            b = flat[y - 1, i] if y else 0
+            c = flat[y - 1, i - size] if y and i >= size else 0
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            line.append((flat[y, i] - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+        raw += bytes(line)
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_png_filters_and_channels(size):
+    img = np.random.default_rng(size).integers(0, 256, (11, 6, size)).astype(np.uint8)
+    x = img.astype(float)
+    if size in (2, 4):
+        x = x[:, :, :-1] * (x[:, :, -1:] / 255) + 255 * (1 - x[:, :, -1:] / 255)
+    want = np.clip(np.rint(x @ np.array([0.299, 0.587, 0.114]) if x.shape[2] == 3 else x[:, :, 0]), 0, 255)
+    assert (decode_png(filtered_png(img, [0, 1, 2, 3, 4])) == want).all()
