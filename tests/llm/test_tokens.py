@@ -119,3 +119,19 @@ def test_packing_edges(spark):
     assert packed(spark, [(1, "")], end_id=None) == []
     with pytest.raises(ValueError):
         packed(spark, [(1, "a")], max_segments=0)
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    def session(value):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: value), sparkContext=SimpleNamespace(applicationId="app-1"))
+
+    assert common.shared_dir(session("file:///shared/x")) == "file:///shared/x"
+    own = common.shared_dir(session(None))
+    assert own == common.shared_dir(session(None)) and "pagemill-" in own
+    t = common.stored(spark.range(3), "test")
+    assert t.count() == 3
+    common.dropped(t)
+    with pytest.raises(Exception):
+        t.count()
