@@ -9,8 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def variance(x: Column) -> Column:
+    """Population variance of integers from their exact sums, so that it does not depend on how rows are dealt."""
+    n, s, q = F.count(x).cast("double"), F.sum(x).cast("double"), F.sum(x.cast("long") * x).cast("double")
+    return (n * q - s * s) / (n * n)
+
+
 def contrast(g: Column) -> Column:
-    return F.least(F.stddev_pop(g) / 80, F.lit(1.0))
+    return F.least(F.sqrt(variance(g)) / 80, F.lit(1.0))
 
 
 def brightness(g: Column) -> Column:
@@ -44,7 +50,7 @@ def sharpness(pixels: DataFrame) -> DataFrame:
     """(image_id, sharpness): variance of the Laplacian over 1000, at most 1; edges are mirrored."""
     p = _exploded(_lot(pixels))
     lap = _near(_mirrored, -1, 0) + _near(_mirrored, 1, 0) + _near(_mirrored, 0, -1) + _near(_mirrored, 0, 1) - 4 * F.col("g")
-    return p.select("image_id", lap.alias("lap")).groupBy("image_id").agg(F.var_pop("lap").alias("laplacian"), F.least(F.var_pop("lap") / 1000, F.lit(1.0)).alias("sharpness"))
+    return p.select("image_id", lap.alias("lap")).groupBy("image_id").agg(variance(F.col("lap")).alias("laplacian")).withColumn("sharpness", F.least(F.col("laplacian") / 1000, F.lit(1.0)))
 
 
 def noise(pixels: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def quality(pixels: DataFrame) -> DataFrame:
 def improvement(before: DataFrame, after: DataFrame) -> DataFrame:
     """(image_id, improvement): weighted relative gain of contrast (standard deviation) and Laplacian variance, plus
     0.5, within [0, 1]; 0.5 where it can't be told."""
-    measure = lambda p, s: p.groupBy("image_id").agg(F.stddev_pop("g").alias(f"c{s}")).join(sharpness(p).select("image_id", F.col("laplacian").alias(f"l{s}")), "image_id")
+    measure = lambda p, s: p.groupBy("image_id").agg(F.sqrt(variance(F.col("g"))).alias(f"c{s}")).join(sharpness(p).select("image_id", F.col("laplacian").alias(f"l{s}")), "image_id")
     j = measure(before, 0).join(measure(after, 1), "image_id", "left")
     gain = lambda a, b: (F.col(b) - F.col(a)) / F.greatest(F.col(a), F.lit(1.0))
     value = 0.6 * gain("c0", "c1") + 0.4 * gain("l0", "l1") + 0.5

@@ -18,6 +18,11 @@ def listed(values) -> str:
     return "[" + ", ".join(map(quoted, values)) + "]"
 
 
+def variance(x: str) -> str:
+    n, s, q = f"count({x})::DOUBLE", f"sum({x})::DOUBLE", f"sum(({x}) * ({x}))::DOUBLE"
+    return f"(({n} * {q} - {s} * {s}) / ({n} * {n}))"
+
+
 LINE_ORDER = "l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
 
 CTES = {
@@ -66,14 +71,14 @@ CTES = {
         {listed(EVIDENCE)}[l_suppkey % 5 + 1] AS evidence, {case(ACTION_OF_CONDITION, f"{listed(CONDITIONS)}[l_suppkey % {len(CONDITIONS)} + 1]", "'no_action'")} AS own_action, l_partkey % 3 = 0 AS more FROM lineitem)""",
     "actions": """actions AS (SELECT page_id, pos * 2 AS k, own_action AS action FROM conditions UNION ALL SELECT page_id, pos * 2 + 1, 'binarize' FROM conditions WHERE more),
     once AS (SELECT page_id, action, min(k) AS k FROM actions GROUP BY ALL)""",
-    "measures": """sized AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM pixels GROUP BY image_id),
+    "measures": f"""sized AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM pixels GROUP BY image_id),
     lap AS (SELECT p.image_id, a.g + b.g + c.g + d.g - 4 * p.g AS lap FROM pixels p JOIN sized s USING (image_id)
         JOIN pixels a ON a.image_id = p.image_id AND a.x = p.x AND a.y = CASE WHEN p.y = 0 THEN 1 ELSE p.y - 1 END JOIN pixels b ON b.image_id = p.image_id AND b.x = p.x AND b.y = CASE WHEN p.y = h - 1 THEN h - 2 ELSE p.y + 1 END
         JOIN pixels c ON c.image_id = p.image_id AND c.y = p.y AND c.x = CASE WHEN p.x = 0 THEN 1 ELSE p.x - 1 END JOIN pixels d ON d.image_id = p.image_id AND d.y = p.y AND d.x = CASE WHEN p.x = w - 1 THEN w - 2 ELSE p.x + 1 END),
-    sharp AS (SELECT image_id, var_pop(lap) AS laplacian, least(var_pop(lap) / 1000, 1.0) AS sharpness FROM lap GROUP BY image_id),
+    sharp AS (SELECT image_id, {variance('lap')} AS laplacian, least({variance('lap')} / 1000, 1.0) AS sharpness FROM lap GROUP BY image_id),
     med AS (SELECT p.image_id, p.y, p.x, p.g, median(q.g) AS m FROM pixels p JOIN sized s USING (image_id), unnest(range(-2, 3)) dy(dy), unnest(range(-2, 3)) dx(dx) JOIN pixels q ON q.image_id = p.image_id AND q.y = greatest(0, least(p.y + dy, h - 1)) AND q.x = greatest(0, least(p.x + dx, w - 1)) GROUP BY ALL),
     noisy AS (SELECT image_id, least(avg(abs(g - m)) / 20, 1.0) AS noise FROM med GROUP BY image_id),
-    basic AS (SELECT image_id, least(stddev_pop(g) / 80, 1.0) AS contrast, CASE WHEN avg(g) < 120 THEN avg(g) / 120 WHEN avg(g) > 200 THEN greatest(0.0, 1 - (avg(g) - 200) / 55) ELSE 1.0 END AS brightness FROM pixels GROUP BY image_id),
+    basic AS (SELECT image_id, least(sqrt({variance('g')}) / 80, 1.0) AS contrast, CASE WHEN avg(g) < 120 THEN avg(g) / 120 WHEN avg(g) > 200 THEN greatest(0.0, 1 - (avg(g) - 200) / 55) ELSE 1.0 END AS brightness FROM pixels GROUP BY image_id),
     measures AS (SELECT image_id, contrast, brightness, sharpness, noise, 0.3 * contrast + 0.2 * brightness + 0.3 * sharpness + 0.2 * (1 - noise) AS overall FROM basic JOIN sharp USING (image_id) JOIN noisy USING (image_id))""",
     "profile": """ink AS (SELECT image_id, x, count(*) FILTER (g < 128) AS ink FROM pixels GROUP BY ALL),
     profile AS (SELECT a.image_id, a.x, a.n, sum(b.ink)::DOUBLE / a.k AS smooth FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS n, greatest(5, least(20, count(*) OVER (PARTITION BY image_id) // 50)) AS k FROM ink) a

@@ -18,7 +18,7 @@ from ..operators import regions as R
 from ..schemas import ACTION_GROUP, ACTION_RANK, CONDITION_MODIFIER, HORIZONTAL, NOTES, QUALITY_NOTE, ROTATIONS, SEVERITY_IMPACT, TURN_NAMES, TURN_NOTE, TYPE_COLOURS, UPSIDE_DOWN
 from ..sources import sinks
 from ..sources import tables as S
-from .adapter_sql import case, listed, sql
+from .adapter_sql import case, sql, variance
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -530,9 +530,12 @@ def rotate90(spark, sf_dir):
     return J.rotated(S.pixels(spark, sf_dir), 90)
 
 
-@query(sql("pixels", "measures", select="""SELECT image_id, round(least(greatest(0.6 * (c1 - c0) / greatest(c0, 1) + 0.4 * (l1 - l0) / greatest(l0, 1) + 0.5, 0), 1), 6) AS improvement FROM
-(SELECT image_id, stddev_pop(g) AS c0, stddev_pop(floor(g / 2)) AS c1 FROM pixels GROUP BY image_id) JOIN (SELECT image_id, laplacian AS l0 FROM sharp) USING (image_id) JOIN
-(SELECT p.image_id, var_pop(floor(a.g / 2) + floor(b.g / 2) + floor(c.g / 2) + floor(d.g / 2) - 4 * floor(p.g / 2)) AS l1 FROM pixels p
+HALF_LAP = " + ".join(f"floor({t}.g / 2)::BIGINT" for t in "abcd") + " - 4 * floor(p.g / 2)::BIGINT"
+
+
+@query(sql("pixels", "measures", select=f"""SELECT image_id, round(least(greatest(0.6 * ((c1 - c0) / greatest(c0, 1)) + 0.4 * ((l1 - l0) / greatest(l0, 1)) + 0.5, 0), 1), 6) AS improvement FROM
+(SELECT image_id, sqrt({variance("g")}) AS c0, sqrt({variance("floor(g / 2)::BIGINT")}) AS c1 FROM pixels GROUP BY image_id) JOIN (SELECT image_id, laplacian AS l0 FROM sharp) USING (image_id) JOIN
+(SELECT p.image_id, {variance(HALF_LAP)} AS l1 FROM pixels p
  JOIN pixels a ON a.image_id = p.image_id AND a.x = p.x AND a.y = abs(p.y - 1) JOIN pixels b ON b.image_id = p.image_id AND b.x = p.x AND b.y = CASE WHEN p.y = 7 THEN 6 ELSE p.y + 1 END
  JOIN pixels c ON c.image_id = p.image_id AND c.y = p.y AND c.x = abs(p.x - 1) JOIN pixels d ON d.image_id = p.image_id AND d.y = p.y AND d.x = CASE WHEN p.x = 7 THEN 6 ELSE p.x + 1 END GROUP BY p.image_id) USING (image_id)"""))
 def quality_improvement(spark, sf_dir):
