@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame
 
 BLOCK = 4 << 20
+#: Of whole rows, which are written once and shuffled once.
+ROWS_LEVEL = 6
 
 
 def pack(data: bytes, level: int = 1) -> bytes:
@@ -25,7 +27,7 @@ def unpack(data: bytes) -> bytes:
 
 def table_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ROWS_LEVEL))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
