@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import language_id, line_dedup, packing, simhash, substring_dedup
+from pagemill.llm import language_id, line_dedup, near_copies, packing, substring_dedup
 from pagemill.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,9 +36,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
-    groups = simhash.near_groups(docs.select("doc_id", "text"))
-    going = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest doc_id."""
+    groups = near_copies.near_groups(docs.select(*COLUMNS))
+    smallest = groups.groupBy("root").agg(F.min("id").alias("least"))
+    going = groups.join(smallest, "root").where(~F.col("id").eqNullSafe(F.col("least"))).select(F.col("id").alias("gone")).distinct()
     return _documents(docs.join(going, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"))
 
 
