@@ -36,11 +36,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest doc_id."""
-    groups = near_copies.near_groups(docs.select(*COLUMNS))
-    smallest = groups.groupBy("root").agg(F.min("id").alias("least"))
-    going = groups.join(smallest, "root").where(~F.col("id").eqNullSafe(F.col("least"))).select(F.col("id").alias("gone")).distinct()
-    return _documents(docs.join(going, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"))
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) one row: the smallest doc_id's,
+    one without an id only where none has one."""
+    docs = docs.select(*COLUMNS)
+    groups = near_copies.near_groups(docs)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    best = groups.groupBy("root").agg(F.min(order)["row"].alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    judged = groups.join(best, "root").groupBy("row", "best").agg(F.count(F.lit(1)).alias("n"))
+    # equal rows share a key: those that stay are taken out too, and one of them is put back
+    going = stored(judged.where("row <> best or n > 1").select(F.col("row").alias("gone"), (F.col("row") == F.col("best")).alias("back")), "going")
+    rows = near_copies.keyed(docs)
+    kept = rows.join(going, F.col("row") == F.col("gone"), "left_anti").drop("row")
+    if not going.where("back").isEmpty():
+        kept = kept.union(rows.join(going.where("back"), F.col("row") == F.col("gone"), "left_semi").drop("row").distinct())
+    return _documents(kept)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

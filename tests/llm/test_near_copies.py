@@ -56,3 +56,10 @@ def test_similarity_at_the_bound(spark, common, same):
     a = [f"w{k}" for k in range(14)]
     rows = [(1, " ".join(a)), (2, " ".join(a[: 14 - tail]))]
     assert len(kept(spark, rows)) == (1 if same else 2)
+
+
+def test_one_row_stays_of_each_group_whatever_its_ids(spark):
+    a, b, c = ("a text of several words that others copy", "an unlike passage which nobody else has written", "third thing entirely about rivers and their fish")
+    d = "rows without any id at all which repeat"
+    rows = [(None, a), (1, a), (4, a), (None, b), (2, c), (2, a), (None, d), (None, d), (None, d), (7, "x y"), (7, "x y")]
+    assert kept(spark, rows) == sorted([(1, a), (None, b), (2, c), (None, d), (7, "x y")], key=str)
