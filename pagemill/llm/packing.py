@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import small_batches, without
-from .tokenizer import encoding, read_ranks
+from .tokenizer import encoding, read_added, read_ranks
 
 #: Items that wait for a sequence at a time; bounds memory and the work of each choice, not the rows that are packed.
 POOL = 512
@@ -98,7 +98,8 @@ def pack(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
     """Pieces of documents in sequences: the columns of docs but the text, and start, length, loss_tokens, doc_tokens,
     sequence_id, offset, ids (binary: little-endian unsigned 32-bit).
 
-    A document's tokens are the ids of its text by the vocabulary, then end_id (None: none). Every token lies in exactly
+    A document's tokens are the ids of its text by the vocabulary, added tokens of a .json file included, then end_id
+    (None: none). Every token lies in exactly
     one piece; the pieces of a sequence start at offset 0 and leave no gap. loss_from_col: a column with the number of
     leading tokens that bear no loss (null: 0). No sequence breaks a limit; max_loss is max_tokens unless given.
     Nulls: a null text counts as empty and has end_id alone; without end_id it has no piece. Repeated rows are packed
@@ -108,6 +109,7 @@ def pack(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
     small_batches(docs.sparkSession)
     docs = without(docs, *(n for n, _ in OUT if n != loss_from_col))
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocab_path))  # bounded by the vocabulary
+    added = read_added(vocab_path)
     text_at, loss_at = docs.columns.index(text_col), docs.columns.index(loss_from_col) if loss_from_col else None
     rest = [i for i, c in enumerate(docs.columns) if c not in (text_col, loss_from_col if loss_from_col in dict(OUT) else None)]
     schema = T.StructType([*[docs.schema.fields[i] for i in rest], *[T.StructField(n, t) for n, t in OUT]])
@@ -117,7 +119,7 @@ def pack(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
         raise ValueError("limits must be positive")
 
     def rows(batches):
-        enc = encoding(ranks.value, pattern, vocab_path)
+        enc = encoding(ranks.value, pattern, vocab_path, added)
         packer = Packer(max_tokens, max_segments, max_loss, TaskContext.get().partitionId() << 33)
         held: dict[int, list] = {}  # of items that wait: row, ids, tokens left
         tail, count = np.array([] if end_id is None else [end_id], np.uint32), 0
@@ -143,7 +145,7 @@ def pack(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
             for lo in range(0, batch.num_rows, POOL):
                 new = []
                 for i in range(lo, min(lo + POOL, batch.num_rows)):
-                    ids = np.concatenate([enc.encode_to_numpy(texts[i].as_py() or "", disallowed_special=()).astype("<u4"), tail])
+                    ids = np.concatenate([enc.encode_to_numpy(texts[i].as_py() or "", allowed_special="all", disallowed_special=()).astype("<u4"), tail])
                     held[count] = [own.slice(i, 1) if rest else None, ids, len(ids)]
                     if not len(ids):
                         del held[count]

@@ -25,10 +25,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(i) for t, i in (line.split() for line in f if line.strip())}
 
 
-def encoding(ranks: dict[bytes, int], pattern: str, key: str):
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of a .json vocabulary file -> id; a .tiktoken file has none.
+
+    They are matched in the text before it is split, as the tokenizers library does by default. Forms that need more than
+    the literal string are refused.
+    """
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    added = data.get("added_tokens", ())
+    names = [t["content"] for t in added]
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")) or data.get("normalizer") or any(a != b and a.startswith(b) for a in names for b in names):
+        raise ValueError("added tokens are matched literally only")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encoding(ranks: dict[bytes, int], pattern: str, key: str, added: dict[str, int] | None = None):
     """The encoder of a vocabulary, made once in each Python worker."""
-    if key not in _ENCODINGS:
+    own = (key, tuple(sorted((added or {}).items())))
+    if own not in _ENCODINGS:
         import tiktoken
 
-        _ENCODINGS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[key]
+        _ENCODINGS[own] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    return _ENCODINGS[own]

@@ -135,3 +135,13 @@ def test_shared_folder(spark):
     common.dropped(t)
     with pytest.raises(Exception):
         t.count()
+
+
+def test_packing_takes_added_tokens_as_the_unmodified_library(spark):
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", f"a {end} b", end * 2, f"{end}\n\n{end}  x", end[:-1], f"<{end}>", f"don't {end}'s 12{end}34 é{end}"]
+    lib = Tokenizer.from_file(JSON)
+    got: dict = {}
+    for r in sorted(packed(spark, list(enumerate(texts))), key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    assert got == {i: np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for i, t in enumerate(texts)}
