@@ -28,7 +28,7 @@ def covering(positions: list[int], radius: int) -> list[int]:
     return [sum(1 << p for p in positions if (vector[p] & v).bit_count() & 1) for v in range(1, n + 1)]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
@@ -60,7 +60,7 @@ def fingerprinted(docs: DataFrame, text_col: str = "text", shingle: int = 3) ->
 
     def rows(batches):
         for b in batches:
-            fps = [_signed(fingerprint(x.as_py() or b"", shingle)) for x in b.column(at).cast(pa.binary())]
+            fps = [signed(fingerprint(x.as_py() or b"", shingle)) for x in b.column(at).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in rest], pa.array(fps, pa.int64())], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(rows, schema)
@@ -94,10 +94,10 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """
     masks = covering(list(range(64)), radius)
     inner = [[m | s for s in covering([p for p in range(64) if not m >> p & 1], radius)] for m in masks]
-    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
+    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "key"))
     sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(dealt.join(sizes, ["t", "key"]), "buckets")
-    table = F.array(*[F.array(*[F.lit(_signed(m)) for m in row]) for row in inner])
+    table = F.array(*[F.array(*[F.lit(signed(m)) for m in row]) for row in inner])
     again = shared.where(F.col("n") > BUCKET).select("fp", "t", F.posexplode(F.transform(F.get(table, F.col("t")), lambda m: F.col("fp").bitwiseAND(m))).alias("t2", "key"))
     flat = shared.where(F.col("n") <= BUCKET).select("fp", (-F.col("t") - 1).alias("t"), "key")
     both = flat.union(again.select("fp", (F.col("t") * 64 + F.col("t2")).alias("t"), "key"))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as C
@@ -63,3 +64,29 @@ def test_one_row_stays_of_each_group_whatever_its_ids(spark):
     d = "rows without any id at all which repeat"
     rows = [(None, a), (1, a), (4, a), (None, b), (2, c), (2, a), (None, d), (None, d), (None, d), (7, "x y"), (7, "x y")]
     assert kept(spark, rows) == sorted([(1, a), (None, b), (2, c), (None, d), (7, "x y")], key=str)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = random.Random(6)
+    for size in (5, 40, 300, 1100, 3000, 9000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for share in (0, 0.004, 0.01, 0.015, 0.02):
+            a, b = " ".join(base), edited(rng, base, share)
+            x, y = near_copies.hashes(a), near_copies.hashes(b)
+            s, t = (np.frombuffer(near_copies.sketch_of(h), np.int8) for h in (x, y))
+            if near_copies.alike(near_copies.shingles(a), near_copies.shingles(b)):
+                assert near_copies._close(len(x), s, np.array([len(y)]), t[None])[0]
+                assert near_copies._close(len(y), t, np.array([len(x)]), s[None])[0]
+    assert near_copies.sketch_of(np.full(300, 1 << 63, np.uint64)) == b""
+    assert near_copies._close(10, s[:0], np.array([10]), t[None])[0]
+
+
+def test_a_group_larger_than_tiles_meets_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "TILE", 3)
+    monkeypatch.setattr(near_copies, "OFTEN", 10**6)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(30)]
+    bases = [[f"v{i}_{k}" for k in range(8)] + passage for i in range(25)]
+    texts = [edited(rng, b, share) for b in bases for share in (0, 0.03, 0.03)]
+    roots = brute_roots(texts)
+    assert kept(spark, list(enumerate(texts))) == sorted(((i, texts[i]) for i in set(roots)), key=str)

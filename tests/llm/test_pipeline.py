@@ -2,7 +2,8 @@
 
 import numpy as np
 import public_tokenizers as P
-from test_dedup import brute_print, brute_roots, line_brute
+from test_dedup import line_brute
+from test_near_copies import brute_roots
 from test_substring import brute
 from tokenizers import Tokenizer
 
@@ -28,7 +29,7 @@ def test_stages(spark):
     assert sorted(str((i, t)) for i, t in rows[2]) == sorted(str(eval(x)[:2]) for x in line_brute(rows[1]))
     some = rows[2]
     order = sorted(range(len(some)), key=lambda k: (some[k][0] is None, some[k][0] or 0))
-    roots = brute_roots([brute_print(some[k][1]) for k in order], 3)
+    roots = brute_roots([some[k][1] for k in order])
     want = [some[order[k]] for k in range(len(order)) if roots[k] == k]
     assert sorted(map(str, rows[3])) == sorted(map(str, want))
     lost = {eval(x)[0]: eval(x) for x in brute(rows[3])}
