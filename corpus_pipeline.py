@@ -24,20 +24,36 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the labelled ones; those without letters, or in no language clearly, go. A missing
-    label is filled in."""
+    label is filled in.
+
+    Nulls: a null or empty text has no letter and goes; a null doc_id is carried, in no fold, and its text is not learned
+    from. Long texts are judged whole. Of equal shares the first label by name wins. Repeated rows are judged alike. An
+    empty table, or one without a label, leaves nothing. Columns besides those of documents are dropped.
+    """
     model = language_id.fit(language_id.sampled(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), "text", "lang", "doc_id"))
     judged = language_id.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
     return _documents(judged.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that three or more hold, except where the largest doc_id keeps them."""
+    """Documents without lines that three or more hold, except where the largest doc_id keeps them.
+
+    Nulls: a null text becomes the empty one; a row without doc_id counts as no document and keeps no such line. A text
+    that loses every line stays, empty. Rows that share a doc_id count as one document. An empty table stays empty. Other
+    columns are dropped.
+    """
     return _documents(line_dedup.dedup_lines(docs))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) one row: the smallest doc_id's,
-    one without an id only where none has one."""
+    one without an id only where none has one.
+
+    Links come from the covering tables of SimHash fingerprints, checked on the texts; what these miss is found exactly.
+    Nulls: null, empty and wordless texts are one group. Rows equal in all columns count as one; rows that share a
+    doc_id but not the text are judged each; of rows with the smallest doc_id the smallest row hash stays. An empty table
+    stays empty. Other columns are dropped.
+    """
     docs = docs.select(*COLUMNS)
     groups = near_copies.near_groups(docs)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
@@ -53,12 +69,22 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that stand in a smaller doc_id; others keep their white space."""
+    """Documents without the words of passages of 13 or more words that stand in a smaller doc_id; the others keep their
+    white space.
+
+    Nulls: a null text stays null; a row without doc_id loses and takes nothing. Texts shorter than a passage stay. Rows
+    that share a doc_id take nothing from each other. A text that loses every word stays, empty. An empty table stays
+    empty. Other columns are dropped.
+    """
     return _documents(substring_dedup.dedup_substrings(docs, whole_if_untouched=True))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in sequences of at most 2048."""
+    """Pieces of the documents' tokens in sequences of at most 2048, with doc_id, lang and source.
+
+    Nulls: a null text counts as empty and is its closing token alone; null ids are carried. Long texts are cut, each
+    token lies in one piece. Repeated rows are packed each. An empty table gives no piece.
+    """
     return packing.pack(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
