@@ -9,11 +9,10 @@ the text's language is the label with the largest share.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +20,13 @@ from .blocks import cut
 from .common import small_batches, stored, without
 
 FEATURES = 1 << 16
-WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the sample that the model is fitted on, per label: documents, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 200, 1500
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Bounds of the sample that the model is fitted on, for each label: documents; of a longer one, pieces from all over it,
+#: and characters of a piece.
+SAMPLE_DOCS, PIECES, PIECE_CHARS = 200, 6, 300
 LEXICON = 300
 #: Words of a part of a chain; parts of all chains of a block are worked on side by side.
 PART = 128
-#: Labels at most; the most frequent ones are learned.
-LABELS = 64
 
 
 def words_of(text: str) -> list[str]:
@@ -130,8 +128,20 @@ def marginals(score: np.ndarray, counts: np.ndarray, transition: np.ndarray) ->
     return out / out.sum(axis=1, keepdims=True)
 
 
+def transitions(alpha: np.ndarray, ahead: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Expected numbers of transitions of chains of one length: alpha and ahead (emissions times beta) by chain, step, label."""
+    left, right = alpha[:, :-1], ahead[:, 1:]
+    left = left / ((left @ move) * right).sum(axis=2, keepdims=True)
+    return np.einsum("bti,btj->ij", left, right) * move
+
+
 def fit(sample: list[tuple[str, str]], length: int = 64, sequences: int = 1200, rounds: int = 10, rate: float = 0.3, seed: int = 7) -> dict:
-    """A model from (label, text) pairs: labels, weights, transition, lexicon. Without a word in them it has no labels."""
+    """A model from (label, text) pairs: labels, weights, transition, lexicon.
+
+    Every label with a word in its texts is learned, in the order of names; without a word in any the model has none.
+    Equally frequent words enter the lexicon in their own order, and a word of several labels counts once, so that equal
+    samples give equal models. More labels than usual get more sequences.
+    """
     pools: dict[str, list[str]] = {}
     for label, text in sample:
         pools.setdefault(label, []).extend(words_of(text))
@@ -145,6 +155,7 @@ def fit(sample: list[tuple[str, str]], length: int = 64, sequences: int = 1200,
     if len(labels) < 2:
         return model
     rng = np.random.default_rng(seed)
+    sequences = max(sequences, 60 * len(labels))
     words, gold = [], []
     for _ in range(sequences):  # pieces of 5 words to a whole sequence, each of one label
         line: list[str] = []
@@ -184,8 +195,7 @@ def fit(sample: list[tuple[str, str]], length: int = 64, sequences: int = 1200,
                 beta[:, t] = x / x.sum(axis=1, keepdims=True)
             one = alpha * beta
             one /= one.sum(axis=2, keepdims=True)
-            two = alpha[:, :-1, :, None] * move * (emit * beta)[:, 1:, None, :]
-            two /= two.sum(axis=(2, 3), keepdims=True)
+            two = transitions(alpha, emit * beta, move)
             hot = np.eye(len(labels))[y]
             slope = ((hot - one).reshape(rows * length, -1)) / size[:, None]
             g = np.zeros_like(weights)
@@ -193,27 +203,33 @@ def fit(sample: list[tuple[str, str]], length: int = 64, sequences: int = 1200,
             g = g / rows - 1e-4 * weights
             seen_w += g * g
             weights += rate * g / np.sqrt(seen_w)
-            g = (np.einsum("bti,btj->ij", hot[:, :-1], hot[:, 1:]) - two.sum(axis=(0, 1))) / rows - 1e-4 * transition
+            g = (np.einsum("bti,btj->ij", hot[:, :-1], hot[:, 1:]) - two) / rows - 1e-4 * transition
             seen_t += g * g
             transition += rate * g / np.sqrt(seen_t)
     return model
 
 
 def sampled(docs: DataFrame, text_col: str, label_col: str, id_col: str) -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCS documents of each label, SAMPLE_CHARS characters of each, chosen by a hash of their ids."""
-    usable = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    many = usable.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(LABELS).collect()
-    share = 1 << 20
-    keep = F.lit(False)
-    for label, n in many:
-        part = min(share, share * 4 * SAMPLE_DOCS // n)
-        keep = keep | ((F.col(label_col) == label) & (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(share)) < part))
-    rows = stored(usable.where(keep).select(F.col(label_col).alias("label"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")), "sample")
-    out: list[tuple[str, str]] = []
-    for label, _ in many:
-        # at most SAMPLE_DOCS rows reach the driver for each label
-        out += [(r.label, r.text) for r in rows.where(F.col("label") == label).orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
-    return out
+    """(label, text) of at most SAMPLE_DOCS documents of every label, the same for the same rows in any order.
+
+    Documents are chosen by a hash of id and text: of each label those with the smallest. A text of more than PIECES *
+    PIECE_CHARS characters gives as many pieces, at places that hashes choose over its whole length. Rows without label
+    or text are not used, a null id is an id like any other, repeated rows count once. An empty table gives no pair. The
+    driver receives SAMPLE_DOCS * PIECES * PIECE_CHARS characters of a label at most.
+    """
+    label, text = F.col(label_col), F.col(text_col)
+    usable = docs.where(label.isNotNull() & text.isNotNull()).select(label.alias("label"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
+    known = usable.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
+    share = 1 << 40
+    few = usable.join(known, "label").where(F.pmod("h", F.lit(share)) <= F.lit(4.0 * SAMPLE_DOCS * share) / F.col("n"))
+    span = F.length("text") - PIECE_CHARS + 1
+    pieces = [F.substring(F.col("text"), F.pmod(F.xxhash64(F.col("h"), F.lit(k)), span) + 1, F.lit(PIECE_CHARS)) for k in range(PIECES)]
+    whole_words = [F.regexp_replace(x, r"(?s)^\S*\s(.*)\s\S*$", "$1") for x in pieces]
+    short = few.select("label", "h", F.when(F.length("text") <= PIECES * PIECE_CHARS, F.col("text")).otherwise(F.concat_ws("\n", *whole_words)).alias("text"))
+    once = stored(short.groupBy("label", "h").agg(F.min("text").alias("text")), "sample")  # some 4 * SAMPLE_DOCS rows of a label
+    first = once.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("k") <= SAMPLE_DOCS)
+    rows = first.orderBy("label", "h", "text").select("label", "text").toArrow()
+    return list(zip(*(c.to_pylist() for c in rows.columns)))
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -228,12 +244,12 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     docs = without(docs, "lang_pred", "score")
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    held = spark.sparkContext.broadcast(model)  # bounded by FEATURES, LEXICON and LABELS
+    held = spark.sparkContext.broadcast(model)  # bounded by FEATURES and LEXICON, for each label
 
     def rows(batches):
         model = held.value
         labels = model["labels"]
-        for table in cut(batches, at, 1 << 21):
+        for table in cut(batches, at, (1 << 23) // max(4, len(labels))):
             number: dict[str, int] = {}
             lists = []
             for x in table.column(at):

@@ -42,11 +42,11 @@ def test_labels_switch_within_a_text():
 
 def test_edges(spark):
     model = L.fit([("en", EN * 5), ("fr", FR * 5)], sequences=200)
-    rows = [(1, None), (2, ""), (3, "123 !? \n"), (4, EN), (5, FR.upper()), (6, EN * 4000), (4, EN), (None, FR), (7, "東京"), (8, "a" * 50_000)]
+    rows = [(1, None), (2, ""), (3, "123 !? \n"), (4, EN), (5, FR.upper()), (6, EN * 4000), (4, EN), (None, FR), (7, "東京"), (8, "a" * 50_000), (9, "½ ② ² Ⅷ 三"[:-2])]
     df = spark.createDataFrame([(t, i, "no") for i, t in rows], "text string, doc_id long, score string")
     got = [(r.doc_id, r.lang_pred, r.score) for r in L.identify(df, model).collect()]
     by = {i: (p, s) for i, p, s in got}
-    assert by[1] == by[2] == by[3] == ("und", 0.0)
+    assert by[1] == by[2] == by[3] == by[9] == ("und", 0.0)
     assert by[4][0] == by[6][0] == "en" and by[5][0] == by[None][0] == "fr" and len(got) == len(rows)
     assert by[7][0] in ("en", "fr") and all(0 <= s <= 1 for _, _, s in got)
     assert L.identify(df.limit(0), model).count() == 0
@@ -69,3 +69,44 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
+
+
+def test_every_label_is_learned_and_pieces_come_from_whole_texts(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    rows = [(100 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("la", "to", "mi") * 9), names[k]) for k in range(70) for i in range(3)]
+    sample = L.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert sorted({k for k, _ in sample}) == names
+    model = L.fit(sample, rounds=2)
+    assert model["labels"] == names
+    long = " ".join(["aa"] * 5000 + ["zz"] * 5000)
+    rows = [(i, long + str(i), "x") for i in range(20)] + [(1, "same", "y")] * 5000
+    got = L.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), "text", "lang", "doc_id")
+    texts = " ".join(t for k, t in got if k == "x")
+    assert texts.count("zz") > 500 < texts.count("aa") and [t for k, t in got if k == "y"] == ["same"]
+    assert max(len(t) for _, t in got) <= L.PIECES * (L.PIECE_CHARS + 1)
+
+
+def test_gradient_of_transitions_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    n, k = 5, 3
+    score, transition = rng.normal(size=(n, k)), rng.normal(size=(k, k))
+
+    def expected(t):
+        total, out = 0.0, np.zeros((k, k))
+        for path in itertools.product(range(k), repeat=n):
+            p = np.exp(sum(score[i, y] for i, y in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:])))
+            total += p
+            for a, b in zip(path, path[1:]):
+                out[a, b] += p
+        return out / total
+
+    emit, move = np.exp(score)[None], np.exp(transition)
+    alpha, beta = np.ones((1, n, k)), np.ones((1, n, k))
+    alpha[:, 0] = emit[:, 0]
+    for t in range(1, n):
+        alpha[:, t] = (alpha[:, t - 1] @ move) * emit[:, t]
+        alpha[:, t] /= alpha[:, t].sum()
+    for t in range(n - 2, -1, -1):
+        beta[:, t] = (beta[:, t + 1] * emit[:, t + 1]) @ move.T
+        beta[:, t] /= beta[:, t].sum()
+    assert np.allclose(L.transitions(alpha, emit * beta, move), expected(transition))
