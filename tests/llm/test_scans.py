@@ -102,6 +102,26 @@ def test_cascade_is_exact(spark):
     assert len(levels) > 2 and {r.key for r in got} == {f"k{i}" for i in range(0, 4000, 20)}
 
 
+def test_a_long_list_of_a_large_universe(spark):
+    """600,000 listed keys, sized as if the universe had 10 ** 9: a first level of 9.7 million bits."""
+    listed = spark.range(600_000).selectExpr("concat('k', id) AS key")
+    universe = spark.range(0, 1_400_000, 2).selectExpr("concat('k', id) AS key")
+    levels = url_filter.cascade(listed, universe, 10**9)
+    assert levels[0].bits > 1 << 23
+    got = universe.where(url_filter.member(levels, universe.key)).selectExpr("count(*) AS n", "max(cast(substr(key, 2) AS int)) AS top").first()
+    assert (got.n, got.top) == (300_000, 599_998)
+
+
+def test_a_list_beyond_what_filters_hold_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_BITS", 200)
+    rules = tuple((f"h{i}.org", f"/{i % 7}/", ("allow", "block")[i % 2]) for i in range(300)) + (("org", "", "block"), ("org", "", "allow"))
+    urls = [*URLS, *(f"http://a.h{i}.org/{i % 7}/x" for i in range(0, 600, 5))]
+    docs = spark.createDataFrame([(u, i) for i, u in enumerate(urls)] + [(urls[6], 6)], "url string, page_id long")
+    got = url_filter.judged(docs, rules=rules).collect()
+    want = [str((r.page_id, *brute_url(r.url, rules))) for r in got]
+    assert len(got) == len(urls) + 1 and [str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got] == want
+
+
 def test_empty_tables(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
