@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -27,16 +28,32 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
+
+    Where neither is set a local master gets a temporary folder; a cluster gets an error, as its machines share none.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="pagemill-")
     return _OWN_DIRS[app]
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """key is value within the block only."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and return it as read from there: lineage is cut, lost executors cost nothing.
 
@@ -51,9 +68,23 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Like stored(), dealt into buckets by keys, each sorted by them: joins on keys of two such tables move and sort
+    nothing."""
+    spark = df.sparkSession
+    table = f"pagemill_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    out = spark.table(table)
+    out._stored_at, out._table = path, table
+    return out
+
+
 def dropped(df: DataFrame) -> None:
-    """Delete what stored() wrote; only for tables that no later plan reads."""
+    """Delete what stored() or bucketed() wrote; only for tables that no later plan reads."""
     spark, path = df.sparkSession, df._stored_at
+    if hasattr(df, "_table"):
+        spark.sql(f"DROP TABLE {df._table}")
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

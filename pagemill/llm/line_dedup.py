@@ -1,9 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
-A run holds, sorted by the 128-bit hash of a line's key, how many documents hold the line and the largest of their ids.
-Documents come in batches. A batch's own hashes are merge-anti-joined with the runs so far (sorted on both sides), which
-tells its first sightings from repeats, and are added as a run of level 0; as many runs of one level as the fan-out are
-compacted to one of the next. Runs hold hashes and two numbers, never text.
+A run holds, bucketed and sorted by the 128-bit hash of a line's key, the state of keys as of its batch: in how many
+documents so far, and the largest of their ids. Documents come in batches. A batch's own keys are merge-joined with the
+runs so far, newest first: a key that no run holds is a first sighting, another's state is carried on. The batch's run
+has the new states; older rows of its keys are stale, and a merge-anti-join with the newer run takes them out wherever
+runs come together: when as many runs of one level as the fan-out are compacted to one of the next, and at the end. So a
+key's newest row is its answer and nothing is added up again. Joins read buckets in their order: old runs are neither
+moved nor sorted. Runs hold hashes and two numbers, never text.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, without
+from .common import bucketed, dropped, setting, stored, without
 
 BLANK, UPPER, LOWER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY, ROW = ["h1", "h2"], ["__t1", "__t2", "__id"]
@@ -21,35 +24,30 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
 
 
+#: Lets a scan of buckets of one file each tell its order, so that merge joins need no sort.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class Runs:
-    """The levelled store of runs (h1, h2, docs, top, fresh), each sorted by its hash within partitions."""
+    """The levelled store of runs (h1, h2, docs, top), each bucketed and sorted by its hash."""
 
-    def __init__(self, fan_out: int = 2):
-        self.fan_out, self.levels = fan_out, []
+    def __init__(self, buckets: int, fan_out: int = 2):
+        self.buckets, self.fan_out, self.levels = buckets, fan_out, []
 
-    def known(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        out = None
-        for r in runs:
-            out = r if out is None else out.unionByName(r)
-        return out
+    def newest_first(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in reversed(level)]
 
-    def add(self, lines: DataFrame) -> DataFrame:
-        """lines(h1, h2, id) of a batch whose documents are in no other batch -> its run; fresh: not in a run before."""
+    def add(self, lines: DataFrame) -> None:
+        """Take in lines(h1, h2, id) of a batch whose documents are in no other batch."""
         own = lines.distinct().groupBy(*KEY).agg(F.count("id").alias("docs"), F.max("id").alias("top"))
-        known = self.known()
-        if known is None:
-            run = own.withColumn("fresh", F.lit(True))
-        else:
-            own = stored(own, "batch")
-            seen = known.select(*KEY).hint("merge")
-            fresh = own.join(seen, KEY, "left_anti").withColumn("fresh", F.lit(True))
-            run = fresh.unionByName(own.join(seen, KEY, "left_semi").withColumn("fresh", F.lit(False)))
-        run = stored(run.repartition(*KEY).sortWithinPartitions(*KEY), "run")
-        if known is not None:
+        own = bucketed(own, "run", KEY, self.buckets)
+        runs = self.newest_first()
+        if runs:
+            with setting(own.sparkSession, ORDERED, "true"):
+                run = bucketed(carried(own, runs), "run", KEY, self.buckets)
             dropped(own)
-        self._push(run, 0)
-        return run
+            own = run
+        self._push(own, 0)
 
     def _push(self, run: DataFrame, level: int) -> None:
         if level == len(self.levels):
@@ -57,16 +55,34 @@ class Runs:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_out:
             olds, self.levels[level] = self.levels[level], []
-            both = olds[0]
-            for r in olds[1:]:
-                both = both.unionByName(r)
-            merged = both.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("top").alias("top"), F.bool_or("fresh").alias("fresh"))
-            self._push(stored(merged.sortWithinPartitions(*KEY), "run"), level + 1)
+            with setting(run.sparkSession, ORDERED, "true"):
+                merged = bucketed(current(olds[::-1]).repartition(self.buckets, *KEY), "run", KEY, self.buckets)
+            for r in olds:
+                dropped(r)
+            self._push(merged, level + 1)
+
+    def states(self) -> DataFrame:
+        """(h1, h2, docs, top) of every key, once."""
+        return current(self.newest_first())
+
+
+def carried(own: DataFrame, runs: list[DataFrame]) -> DataFrame:
+    """own's keys with their new states; runs: newest first."""
+    out = own
+    for i, r in enumerate(runs):
+        out = out.join(r.select(*KEY, F.col("docs").alias(f"docs{i}"), F.col("top").alias(f"top{i}")).hint("merge"), KEY, "left")
+    before, top = (F.coalesce(*[F.col(f"{c}{i}") for i in range(len(runs))]) for c in ("docs", "top"))
+    return out.select(*KEY, (F.col("docs") + F.coalesce(before, F.lit(0))).alias("docs"), F.greatest("top", top).alias("top"))
+
 
-    def totals(self) -> DataFrame | None:
-        """(h1, h2, docs, top) over all runs."""
-        known = self.known()
-        return None if known is None else known.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
+def current(runs: list[DataFrame]) -> DataFrame:
+    """Rows of runs, newest first, that no newer run's row of the same key makes stale."""
+    out = runs[0]
+    for i, r in enumerate(runs[1:], 1):
+        for newer in runs[:i]:
+            r = r.join(newer.select(*KEY).hint("merge"), KEY, "left_anti")
+        out = out.unionByName(r)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, batches: int = 4, fan_out: int = 2) -> DataFrame:
@@ -86,11 +102,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = lines.select(*ROW, "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashed = keyed.select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("__id"), F.lit(batches)).cast("int").alias("batch"))
     hashed = stored(hashed, "lines", by="batch")
-    runs = Runs(fan_out)
+    runs = Runs(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), fan_out)
     for b in range(batches):
         runs.add(hashed.where(F.col("batch") == b).select(*KEY, F.col("__id").alias("id")))
     # written, so that the join deals out both sides anew and Spark can split the tasks of a line that very many hold
-    going = stored(runs.totals().where(F.col("docs") >= min_docs).select(*KEY, "top"), "going")
+    with setting(docs.sparkSession, ORDERED, "true"):
+        going = stored(runs.states().where(F.col("docs") >= min_docs).select(*KEY, "top"), "going")
+    for r in runs.newest_first():
+        dropped(r)
     gone = hashed.join(going, KEY).where(~F.col("__id").eqNullSafe(F.col("top")))
     places = gone.groupBy(*ROW).agg(F.collect_set("pos").alias("__gone")).toDF(*(f"{c}_" for c in ROW), "__gone")  # at most the lines of one document
     same = F.col("__t1").eqNullSafe(F.col("__t1_")) & F.col("__t2").eqNullSafe(F.col("__t2_")) & F.col("__id").eqNullSafe(F.col("__id_"))

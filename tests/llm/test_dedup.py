@@ -1,13 +1,16 @@
 """Exact, line and SimHash dedup against brute force, and their edge cases."""
 
+import functools
 import hashlib
 import random
 from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pagemill.llm import exact_dedup, line_dedup, simhash
+from pagemill.llm.common import setting
 from pagemill.llm.components import components
 
 SCHEMA = "doc_id long, text string, keep_id string, fp int, `a b` string"
@@ -81,14 +84,32 @@ def test_line_dedup(spark, batches):
     assert got[0].pos == 8
 
 
-def test_runs_tell_first_sightings(spark):
-    runs = line_dedup.Runs(2)
+def test_runs_carry_states_and_shadow_old_rows(spark):
+    runs = line_dedup.Runs(4, 2)
     make = lambda x: spark.createDataFrame(x, "h1 long, h2 long, id long")
+    rows = lambda df: {(r.h1, r.docs, r.top) for r in df.collect()}
     runs.add(make([(1, 1, 10), (2, 2, 10)]))
-    assert {(r.h1, r.fresh) for r in runs.add(make([(1, 1, 11), (3, 3, 11)])).collect()} == {(1, False), (3, True)}
-    assert {(r.h1, r.fresh) for r in runs.add(make([(3, 3, 12), (4, 4, 12)])).collect()} == {(3, False), (4, True)}
-    assert {(r.h1, r.docs, r.top) for r in runs.totals().collect()} == {(1, 2, 11), (2, 1, 10), (3, 2, 12), (4, 1, 12)}
-    assert [len(x) for x in runs.levels] == [1, 1]
+    first = runs.levels[0][0]
+    second = line_dedup.bucketed(make([(1, 1, 11), (3, 3, 11)]).groupBy("h1", "h2").agg(F.count("id").alias("docs"), F.max("id").alias("top")), "run", ["h1", "h2"], 4)
+    with setting(spark, line_dedup.ORDERED, "true"):
+        run = line_dedup.carried(second, [first])
+        assert rows(run) == {(1, 2, 11), (3, 1, 11)}
+        for df in (run, line_dedup.current([second, first])):  # old runs are neither moved nor sorted
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.add(make([(1, 1, 11), (3, 3, 11), (1, 1, 11)]))
+    assert [len(x) for x in runs.levels] == [0, 1]
+    runs.add(make([(3, 3, 12), (4, 4, 12)]))
+    assert [rows(x) for x in runs.newest_first()] == [{(3, 2, 12), (4, 1, 12)}, {(1, 2, 11), (2, 1, 10), (3, 1, 11)}]
+    assert rows(runs.states()) == {(1, 2, 11), (2, 1, 10), (3, 2, 12), (4, 1, 12)} and runs.states().count() == 4
+    assert spark.conf.get(line_dedup.ORDERED, "false") == "false"
+
+
+def test_line_dedup_rests_on_its_anti_joins(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "current", lambda runs: functools.reduce(lambda x, y: x.unionByName(y), runs))
+    docs = [(i, "the very same line in all of these documents") for i in range(12)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(str((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in got) != line_brute(docs)
 
 
 def brute_print(text, k=3):
