@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from .common import small_batches, stored, without
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS, SPAN = 1024, 16384, 12, 16
+#: Clashing hashes that tasks are given as a list, so that only their chunks move; more are found by joins.
+CLASHES = 1 << 16
 
 
 def _gear() -> np.ndarray:
@@ -95,30 +97,35 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols = [b.column(i) for i in others] + [pa.array(shas, pa.string()), pa.array(ids, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in rest.fields] + ["text_sha256", "recipe"])
 
-    def chunk_rows(batches):
+    def chunk_rows(batches, wanted=None):
         parts = _chunked(hash_bits)
         for b in batches:
             seen: dict = {}
             for data in _texts(b.column(0)):
-                seen.update(dict.fromkeys(zip(*parts(data))))
+                seen.update((x, None) for x in zip(*parts(data)) if wanted is None or x[0] in wanted)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([c for _, c in seen], pa.binary())], names=["h", "chunk"])
 
     recipes = docs.mapInArrow(recipe_rows, T.StructType([*rest.fields, T.StructField("text_sha256", T.StringType()), T.StructField("recipe", T.ArrayType(T.LongType()))]))
     recipes = stored(recipes.withColumn("ranks", F.array().cast("array<int>")), "recipes")
     contents = docs.select(text_col).mapInArrow(chunk_rows, "h long, chunk binary").distinct()
     clashes = stored(contents.groupBy("h").count().where("count > 1").select("h"), "clashes")
-    if not clashes.isEmpty():
-        recipes = _ranked(docs.select(text_col), recipes, clashes, contents, hash_bits)
+    n = clashes.count()
+    if n:
+        wanted = frozenset(clashes.toArrow().column("h").to_pylist()) if n <= CLASHES else None
+        if wanted:
+            contents = docs.select(text_col).mapInArrow(lambda batches: chunk_rows(batches, wanted), "h long, chunk binary").distinct()
+        recipes = _ranked(docs.select(text_col), recipes, clashes, contents, hash_bits, wanted)
     groups = recipes.groupBy("recipe", "ranks").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # written, so that the join deals out both sides anew and Spark can split the tasks of a text that very many rows hold
     out = recipes.join(stored(groups, "groups"), ["recipe", "ranks"])
     return out.select(*[F.col(f"`{f.name}`") for f in rest.fields], "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def _ranked(texts: DataFrame, recipes: DataFrame, clashes: DataFrame, contents: DataFrame, bits: int) -> DataFrame:
+def _ranked(texts: DataFrame, recipes: DataFrame, clashes: DataFrame, contents: DataFrame, bits: int, wanted: frozenset | None) -> DataFrame:
     """Where hashes clash: rank the contents of each such hash, and give each recipe the ranks of its chunks.
 
-    The sha256 of a text leads back to its chunks here; it is only an address, the ranks are by bytes.
+    The sha256 of a text leads back to its chunks here; it is only an address, the ranks are by bytes. wanted: the
+    clashing hashes, if they are few; then no other chunk leaves its task.
     """
     ranks = contents.join(clashes, "h").withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("chunk")))
 
@@ -129,7 +136,8 @@ def _ranked(texts: DataFrame, recipes: DataFrame, clashes: DataFrame, contents:
             for data in _texts(b.column(0)):
                 sha = hashlib.sha256(data).hexdigest()
                 for i, (h, c) in enumerate(zip(*parts(data))):
-                    rows[sha, i] = (h, c)
+                    if wanted is None or h in wanted:
+                        rows[sha, i] = (h, c)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int32()), pa.array([v[0] for v in rows.values()], pa.int64()), pa.array([v[1] for v in rows.values()], pa.binary())],
                 names=["text_sha256", "pos", "h", "chunk"],

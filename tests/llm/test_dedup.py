@@ -43,6 +43,34 @@ def test_exact_groups(spark, bits):
     assert "a b" in got[0].asDict() and got[0]["fp"] in (1, None)
 
 
+@pytest.mark.parametrize("most", [1 << 16, 0])
+def test_only_chunks_of_clashing_hashes_move_again(spark, monkeypatch, most):
+    """Two contents of one 20-bit hash among long texts: with a list of clashes, theirs are all that is placed."""
+    monkeypatch.setattr(exact_dedup, "CLASHES", most)
+    seen, pair = {}, None
+    for i in range(10**6):
+        t = f"text number {i}"
+        h = xxhash.xxh64_intdigest(t) & (1 << 20) - 1
+        if h in seen:
+            pair = (seen[h], t)
+            break
+        seen[h] = t
+    rng = random.Random(4)
+    long = " ".join(str(rng.random()) for _ in range(9000))
+    texts = [*pair, pair[0].upper(), long, long + "x", long]
+    placed = []
+    ranked = exact_dedup._ranked
+
+    def counted(*args):
+        placed.append(args[3].count())
+        return ranked(*args)
+
+    monkeypatch.setattr(exact_dedup, "_ranked", counted)
+    got = exact_dedup.exact_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hash_bits=20).collect()
+    assert {r.doc_id: r.keep_id for r in got} == {0: 2, 1: 1, 2: 2, 3: 5, 4: 4, 5: 5}
+    assert placed == [2] if most else placed[0] > 10
+
+
 def test_cuts_are_content_defined():
     gear = exact_dedup._gear()
     data = random.Random(1).randbytes(200_000)
