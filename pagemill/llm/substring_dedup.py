@@ -1,21 +1,26 @@
 """Substring dedup: seed and extend over winnowed anchors.
 
 Seed: in each window of words the word n-gram with the smallest hash is its anchor (winnowing), so two equal windows
-have the same anchor at the same offset, whatever stands around them; consecutive windows mostly share one. Documents
-meet on anchors: an entry is an anchor with the hashes of the windows that reach out from it to both sides. Extend:
-entries of one anchor are compared window by window, which finds how far each agrees with a smaller document; windows
-that overlap make up maximal repeats, each at least one window long. Entries that a block repeats are merged before the shuffle, so a
-passage in very many documents is one entry per block, and no pairs are ever made.
+have the same anchor at the same offset, whatever stands around them; consecutive windows mostly share one. Blocks of
+documents first send their anchors only, as short hashes, which tells the anchors that two or more documents hold.
+Extend: these meet again with the words around them, as far as a window that holds the anchor can reach to both sides.
+At each offset of the anchor equal words are one group, by the words themselves, and a window is hit if its group has a
+smaller document. Windows that hit and overlap make up the maximal repeats, each at least one window long.
 
-A window is known by the 64-bit hash of its anchor, its offset from it and 48 bits of a hash of all its words.
+Contexts that a block repeats are merged before the shuffle, so a passage in very many documents is one entry per block,
+and no pairs are ever made. An anchor that very many documents hold is dealt by the words of each window, to as many
+tasks as there are different windows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +31,10 @@ from .common import small_batches, stored, without
 
 ANCHOR = 6
 #: Text that one bucket of the exchange stands for.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 64 << 20
+#: States of anchors: held by several documents; by so many that their windows are dealt by their words.
+SHARED, HOT, HOT_DOCS = 1, 2, 4096
+SPACE = re.compile(b" ")
 
 
 def _mixers(n: int) -> np.ndarray:
@@ -40,21 +48,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Entries:
-    """The anchors of one block: p (first word), s0 and s1 (first and last window), anchor, doc, low and high (offsets)."""
+class Anchors:
+    """The anchors of one block: p (first word), s0 and s1 (first and last window that it is the anchor of), hash, doc."""
 
     def __init__(self, words: list[list[bytes]], ids: list, window: int, buckets: int):
-        self.window, self.k = window, min(ANCHOR, window)
+        self.window, self.k, self.buckets = window, min(ANCHOR, window), buckets
         reach = self.reach = window - self.k
+        self.words = [x for w in words for x in w]
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        self.ends = np.cumsum(counts)
-        n = int(self.ends[-1]) if len(words) else 0
-        self.n = n
-        hashes = np.empty(n, np.uint64)
-        at = 0
-        for w in words:
-            hashes[at : at + len(w)] = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-            at += len(w)
+        n = self.n = len(self.words)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, n)
         doc_of = np.repeat(np.arange(len(words)), counts)
         starts = max(0, n - window + 1)
         grams = np.zeros(max(0, n - self.k + 1), np.uint64)
@@ -76,101 +79,140 @@ class Entries:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(s)) - 1 if len(first) else first
         self.p, self.s0, self.s1 = p[first], s[first], s[last] if len(s) else s
-        self.anchor = grams[self.p]
-        doc_ids = np.array([i or 0 for i in ids], np.int64)
-        self.doc = doc_ids[doc_of[self.p]] if n else np.zeros(0, np.int64)
-        whole = np.zeros(starts, np.uint64)
-        for j, m in enumerate(_mixers(window)):
-            whole += hashes[j : j + starts] * m
-        self.whole = _mixed(whole) >> np.uint64(16)
-        self.low, self.high = self.p - self.s1, self.p - self.s0
-        # what a block repeats: one entry, of the smallest id, stands for all
-        run = np.zeros(starts + 1, np.uint64)
-        run[1:] = np.cumsum(_mixed(self.whole + np.uint64(1)))
-        mark = (run[self.s1 + 1] - run[self.s0]) ^ _mixed((self.low * 64 + self.high).astype(np.uint64))
-        order = np.lexsort((self.doc, mark, self.anchor))
-        a, b = self.anchor[order], mark[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        group = np.cumsum(head) - 1
-        self.heads = order[head]
-        self.head_of = np.empty(len(order), np.int64)
-        self.head_of[order] = group
-        bucket = (self.anchor[self.heads] % np.uint64(buckets)).astype(np.int64)
-        self.sent = np.lexsort((self.p[self.heads], bucket))  # positions in heads, by bucket
-        self.bucket = bucket[self.sent]
-
-    def messages(self):
-        """(bucket, payload) for each bucket that this block has entries of."""
-        cuts = np.flatnonzero(np.diff(self.bucket)) + 1
-        for part in np.split(np.arange(len(self.bucket)), cuts) if len(self.bucket) else []:
-            e = self.heads[self.sent[part]]
-            at, _ = _ranges(self.s0[e], self.s1[e] - self.s0[e] + 1)
-            planes = self.whole[at].view(np.uint8).reshape(-1, 8).T[:6]
-            docs = self.doc[e].view(np.uint8).reshape(-1, 8).T
-            data = np.uint32(len(e)).tobytes() + self.anchor[e].tobytes() + docs.tobytes() + self.low[e].astype(np.uint8).tobytes() + self.high[e].astype(np.uint8).tobytes() + planes.tobytes()
-            yield int(self.bucket[part[0]]), pack(data)
-
-    def removed(self, replies: list[tuple[int, bytes]]) -> np.ndarray:
-        """Which words go, given the buckets' replies: positions in a message, and a bit for each offset."""
-        bits = np.zeros(len(self.heads), np.uint64)
+        self.hash = grams[self.p]
+        self.doc = np.array([i or 0 for i in ids], np.int64)[doc_of[self.p]] if n else np.zeros(0, np.int64)
+        # different anchors, by bucket; of: which of them each is
+        kinds, of = np.unique(self.hash, return_inverse=True)
+        pairs = np.unique(of * (len(ids) + 1) + np.unique(self.doc, return_inverse=True)[1])
+        holders = np.bincount(pairs // (len(ids) + 1), minlength=len(kinds))
+        bucket = (kinds % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((kinds, bucket))
+        self.kinds, self.holders, self.kind_bucket = kinds[order], np.minimum(holders[order], 255), bucket[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.of = rank[of]
+
+    def seeds(self):
+        """(bucket, payload) for each bucket: 40 bits of its anchors, and how many documents of the block hold each."""
+        for at in _parts(self.kind_bucket):
+            short = (self.kinds[at] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+            yield int(self.kind_bucket[at[0]]), pack(short + self.holders[at].astype(np.uint8).tobytes())
+
+    def extend(self, replies: list[tuple[int, bytes]]) -> list[tuple[int, bytes, int, int, int, np.ndarray, np.ndarray]]:
+        """What meets again, given the buckets' states of anchors: (bucket, words, low, high, smallest doc, the anchors,
+        their docs) of each different context, offsets low to high, in the same order each time."""
+        state = np.zeros(len(self.kinds), np.uint8)
+        for bucket, payload in replies:
+            own = np.frombuffer(unpack(payload), np.uint8)
+            start = int(np.searchsorted(self.kind_bucket, bucket))
+            state[start : start + len(own)] = own
+        held: dict[tuple, list[int]] = {}
+        kind, bucket = state[self.of], self.kind_bucket[self.of]
+        for e in np.flatnonzero(kind).tolist():
+            s0, s1, p = int(self.s0[e]), int(self.s1[e]), int(self.p[e])
+            if kind[e] == SHARED:
+                text = b" ".join(self.words[s0 : s1 + self.window])
+                held.setdefault((int(bucket[e]), text, p - s1, p - s0), []).append(e)
+            else:
+                for s in range(s0, s1 + 1):
+                    text = b" ".join(self.words[s : s + self.window])
+                    held.setdefault((xxhash.xxh64_intdigest(text) % self.buckets, text, p - s, p - s), []).append(e)
+        out = []
+        for (b, text, low, high), es in sorted(held.items()):
+            at = np.array(es)
+            out.append((b, text, low, high, int(self.doc[at].min()), at, self.doc[at]))
+        return out
+
+    def removed(self, contexts: list, replies: list[tuple[int, bytes]]) -> np.ndarray:
+        """Which words go, given the buckets' replies: places of contexts in a message, and a bit for each offset."""
+        first: dict[int, int] = {}
+        for i, c in enumerate(contexts):
+            first.setdefault(c[0], i)
+        bits = np.zeros(len(contexts), np.uint64)
         for bucket, payload in replies:
-            start = int(np.searchsorted(self.bucket, bucket))
             data = unpack(payload)
             n = len(data) // 12
-            bits[self.sent[start + np.frombuffer(data[: 4 * n], np.uint32)]] = np.frombuffer(data[4 * n :], np.uint64)
-        every = bits[self.head_of]
-        later = self.doc > self.doc[self.heads][self.head_of]
+            bits[first[bucket] + np.frombuffer(data[: 4 * n], np.uint32).astype(np.int64)] = np.frombuffer(data[4 * n :], np.uint64)
+        if not contexts:
+            return np.zeros(self.n, bool)
+        sizes = np.array([len(c[5]) for c in contexts])
+        each = np.repeat(np.arange(len(contexts)), sizes)
+        e, doc = np.concatenate([c[5] for c in contexts]), np.concatenate([c[6] for c in contexts])
+        low, high, least = (np.array([c[k] for c in contexts])[each] for k in (2, 3, 4))
         change = np.zeros(self.n + 1, np.int32)
         for o in range(self.reach + 1):
-            s = self.p - o
-            hit = (s >= self.s0) & (s <= self.s1) & (later | ((every >> np.uint64(o)) & np.uint64(1)).astype(bool))
+            s = self.p[e] - o
+            hit = (low <= o) & (o <= high) & ((doc > least) | ((bits[each] >> np.uint64(o)) & np.uint64(1)).astype(bool))
             np.add.at(change, s[hit], 1)
             np.add.at(change, s[hit] + self.window, -1)
         return np.cumsum(change[:-1]) > 0
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """start, start + 1, ... for each count, one after the other, and which range each is of."""
-    which = np.repeat(np.arange(len(counts)), counts)
-    return np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[which], which
-
-
-def _parsed(data: bytes) -> tuple[np.ndarray, ...]:
-    """anchor, doc, low, high, and the window hashes of all entries, as messages() packs them."""
-    raw = np.frombuffer(data, np.uint8)
-    n = int(raw[:4].view(np.uint32)[0])
-    anchor, docs, low, high, planes = np.split(raw[4:], [8 * n, 16 * n, 17 * n, 18 * n])
-    whole = np.zeros((len(planes) // 6, 8), np.uint8)
-    whole[:, :6] = planes.reshape(6, -1).T
-    return np.frombuffer(anchor.tobytes(), np.uint64), np.ascontiguousarray(docs.reshape(8, n).T).view(np.int64)[:, 0], low, high, whole.view(np.uint64)[:, 0]
-
-
-def _extended(anchor, doc, low, high, whole) -> np.ndarray:
-    """Bits of the offsets at which an entry's window stands in a smaller document too; 0 for most entries."""
-    bits = np.zeros(len(anchor), np.uint64)
-    order = np.argsort(anchor, kind="stable")
-    a = anchor[order]
-    same = np.zeros(len(a), bool)
-    same[1:] = a[1:] == a[:-1]
-    same[:-1] |= same[1:].copy()
-    c = order[same]
-    if not len(c):
-        return bits
-    counts = high.astype(np.int64) - low + 1
-    first = np.cumsum(counts) - counts
-    at, e = _ranges(first[c], counts[c])
-    offset = high[c][e] - (at - first[c][e])  # windows run from the farthest start to the nearest
-    key = whole[at] | offset.astype(np.uint64) << np.uint64(48)
-    who, d = anchor[c][e], doc[c][e]
-    order = np.lexsort((d, key, who))
-    w, k, d = who[order], key[order], d[order]
-    head = np.ones(len(order), bool)
-    head[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1])
-    smallest = d[np.flatnonzero(head)][np.cumsum(head) - 1]
-    hit = order[d > smallest]
-    np.bitwise_or.at(bits, c[e[hit]], np.uint64(1) << offset[hit].astype(np.uint64))
-    return bits
+def _parts(bucket: np.ndarray) -> list[np.ndarray]:
+    """Places of each bucket's entries, which lie together."""
+    return np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1) if len(bucket) else []
+
+
+def _states(parts: list[bytes], hot: int) -> list[bytes]:
+    """For each message of seeds the states of its anchors: 0, SHARED by documents, or HOT."""
+    sizes = [len(x) // 6 for x in parts]
+    short = np.zeros((sum(sizes), 8), np.uint8)
+    short[:, :5] = np.concatenate([np.frombuffer(x, np.uint8)[: 5 * n].reshape(5, n).T for x, n in zip(parts, sizes)])
+    holders = np.concatenate([np.frombuffer(x, np.uint8)[5 * n :] for x, n in zip(parts, sizes)])
+    of = np.unique(short.view(np.uint64)[:, 0], return_inverse=True)[1]
+    total = np.bincount(of, holders)[of]
+    state = np.where(total >= hot, HOT, np.where(total > 1, SHARED, 0)).astype(np.uint8)
+    return [x.tobytes() for x in np.split(state, np.cumsum(sizes)[:-1])]
+
+
+def _message(contexts: list) -> bytes:
+    """Contexts of one bucket: their number, smallest docs, offsets, lengths, and words."""
+    lengths = np.array([len(c[1]) for c in contexts], np.uint32)
+    docs = np.array([c[4] for c in contexts], np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    low, high = (np.array([c[k] for c in contexts], np.uint8).tobytes() for k in (2, 3))
+    return pack(np.uint32(len(contexts)).tobytes() + docs + low + high + lengths.tobytes() + b"".join(c[1] for c in contexts), 3)
+
+
+def _contexts(data: bytes):
+    """(doc, low, high, words) of a message."""
+    n = int(np.frombuffer(data[:4], np.uint32)[0])
+    raw = np.frombuffer(data, np.uint8)[4 : 4 + 14 * n]
+    docs = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.int64)[:, 0].tolist()
+    low, high, ends = raw[8 * n : 9 * n].tolist(), raw[9 * n : 10 * n].tolist(), np.cumsum(np.frombuffer(raw[10 * n :].tobytes(), np.uint32)).tolist()
+    text, at = data[4 + 14 * n :], 0
+    for d, a, b, end in zip(docs, low, high, ends):
+        yield d, a, b, text[at:end]
+        at = end
+
+
+def _windows(low: int, high: int, text: bytes, window: int):
+    """(offset, the window's words) for each offset of a context."""
+    if low == high:
+        yield low, text
+        return
+    cuts = [-1, *(m.start() for m in SPACE.finditer(text)), len(text)]
+    for o in range(low, high + 1):
+        yield o, text[cuts[high - o] + 1 : cuts[high - o + window]]
+
+
+def _extended(messages: list[bytes], window: int) -> list[bytes]:
+    """For each message, packed: places of the contexts with a window that a smaller document has, and bits of offsets."""
+    least: dict[bytes, int] = {}
+    for data in messages:
+        for doc, low, high, text in _contexts(data):
+            for _, words in _windows(low, high, text, window):
+                if least.get(words, doc) >= doc:
+                    least[words] = doc
+    out = []
+    for data in messages:
+        at, bits = [], []
+        for i, (doc, low, high, text) in enumerate(_contexts(data)):
+            found = sum(1 << o for o, words in _windows(low, high, text, window) if least[words] < doc)
+            if found:
+                at.append(i)
+                bits.append(found)
+        out.append(pack(np.array(at, np.uint32).tobytes() + np.array(bits, np.uint64).tobytes()) if at else b"")
+    return out
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, whole_if_untouched: bool = False) -> DataFrame:
@@ -195,34 +237,43 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = held.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
 
-    def entries(payload: bytes):
+    def anchors(payload: bytes):
         table = bytes_table(payload)
         words = [x.split() for x in texts_of(table.column(text_at))]
-        return table, words, Entries(words, table.column(id_at).to_pylist(), window, buckets)
+        return table, words, Anchors(words, table.column(id_at).to_pylist(), window, buckets)
 
-    def send(batches):
+    def rows(block: list[int], bucket: list[int], payload: list[bytes]) -> pa.Table:
+        return pa.table({"block": pa.array(block, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+    def pairs(t: pa.Table) -> list[tuple[int, bytes]]:
+        return list(zip(t.column("bucket").to_pylist(), t.column("payload").to_pylist()))
+
+    def seed(batches):
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                found = list(entries(payload.as_py())[2].messages())
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.binary())], names=["block", "bucket", "payload"])
-
-    def meet(messages: pa.Table) -> pa.Table:
-        parts = [_parsed(unpack(x.as_py())) for x in messages.column("payload")]
-        bits = _extended(*(np.concatenate([p[i] for p in parts]) for i in range(5)))
-        blocks_, payloads, at = [], [], 0
-        for block, p in zip(messages.column("block").to_pylist(), parts):
-            own = bits[at : at + len(p[0])]
-            at += len(own)
-            hit = np.flatnonzero(own)
-            if len(hit):
-                blocks_.append(block)
-                payloads.append(pack(hit.astype(np.uint32).tobytes() + own[hit].tobytes()))
-        bucket = messages.column("bucket")[0].as_py()
-        return pa.table({"block": pa.array(blocks_, pa.int64()), "bucket": pa.array([bucket] * len(blocks_), pa.int64()), "reply": pa.array(payloads, pa.binary())})
+                found = list(anchors(payload.as_py())[2].seeds())
+                yield from rows([block] * len(found), [x for x, _ in found], [y for _, y in found]).to_batches()
+
+    def count(t: pa.Table) -> pa.Table:
+        states = _states([unpack(x.as_py()) for x in t.column("payload")], HOT_DOCS)
+        some = [(block, bucket, pack(x)) for block, bucket, x in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), states) if any(x)]
+        return rows(*map(list, zip(*some))) if some else rows([], [], [])
+
+    def send(own: pa.Table, states: pa.Table) -> pa.Table:
+        block = own.column("block")[0].as_py()
+        contexts = anchors(own.column("payload")[0].as_py())[2].extend(pairs(states))
+        found = [(bucket, _message(list(c))) for bucket, c in itertools.groupby(contexts, lambda c: c[0])]
+        return rows([block] * len(found), [x for x, _ in found], [y for _, y in found])
+
+    def meet(t: pa.Table) -> pa.Table:
+        replies = _extended([unpack(x.as_py()) for x in t.column("payload")], window)
+        some = [(block, bucket, x) for block, bucket, x in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), replies) if x]
+        return rows(*map(list, zip(*some))) if some else rows([], [], [])
 
     def rebuild(own: pa.Table, replies: pa.Table) -> pa.Table:
-        table, words, found = entries(own.column("payload")[0].as_py())
-        gone = found.removed(list(zip(replies.column("bucket").to_pylist(), replies.column("reply").to_pylist())))
+        table, words, found = anchors(own.column("payload")[0].as_py())
+        first = pairs(replies.filter(pc.equal(replies.column("round"), 1)))
+        gone = found.removed(found.extend(first), pairs(replies.filter(pc.equal(replies.column("round"), 2))))
         texts, lost, at = [], [], 0
         old = table.column(text_at).to_pylist()
         for w, text in zip(words, old):
@@ -236,6 +287,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         table = table.set_column(text_at, table.schema.field(text_at), pa.array(texts, table.schema.field(text_at).type))
         return pa.Table.from_arrays([*table.columns, pa.array([len(w) for w in words], pa.int64()), pa.array(lost, pa.int64())], names=names)
 
-    messages = held.select("block", "payload").mapInArrow(send, "block long, bucket long, payload binary")
-    replies = messages.groupBy("bucket").applyInArrow(meet, "block long, bucket long, reply binary")
-    return held.select("block", "payload").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(rebuild, schema)
+    kind = "block long, bucket long, payload binary"
+    own = held.select("block", "payload")
+    states = stored(own.mapInArrow(seed, kind).groupBy("bucket").applyInArrow(count, kind), "states")
+    replies = own.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(send, kind).groupBy("bucket").applyInArrow(meet, kind)
+    both = states.withColumn("round", F.lit(1)).union(replies.withColumn("round", F.lit(2)))
+    return own.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(rebuild, schema)
