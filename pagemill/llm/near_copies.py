@@ -30,6 +30,9 @@ OFTEN = 4
 SKETCH, LOAD = 128, 8
 #: Texts of one key that one task compares with as many others, on average.
 TILE = 256
+#: Closest texts by sketch that are compared with a text in each round, while others of its group are in other components;
+#: the last round leaves none out.
+CLOSEST = (4, 64, 1 << 62)
 #: Bits of the map by which texts are left out of a shuffle.
 BITS = 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -86,15 +89,22 @@ def _folded(s: np.ndarray, cells: int) -> np.ndarray:
     return s.reshape(len(s), -1, cells).sum(axis=1, dtype=np.int16)
 
 
-def _close(n: int, s: np.ndarray, n2: np.ndarray, s2: np.ndarray) -> np.ndarray:
-    """Which of the sets (n2, s2: sizes, sketches as rows) sizes and sketches do not rule out as similar to one (n, s)."""
+def _gaps(n: int, s: np.ndarray, n2: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """At least how many elements each of the sets (n2, s2: sizes, sketches as rows) does not share with one (n, s); infinite
+    where that, or the sizes, rule out that they are similar."""
     ok = 5 * np.minimum(n, n2) >= 4 * np.maximum(n, n2)
+    out = np.where(ok, 0.0, np.inf)
     at = np.flatnonzero(ok)
     if len(at) and len(s) and s2.shape[1]:
         cells = min(len(s), s2.shape[1])
         gap = np.abs(_folded(s2[at], cells) - _folded(s[None], cells)).sum(axis=1, dtype=np.int64)
-        ok[at] = 9 * gap <= n + n2[at]  # similar sets differ in a ninth of both sizes at most
-    return ok
+        out[at] = np.where(9 * gap <= n + n2[at], gap, np.inf)  # similar sets differ in a ninth of both sizes at most
+    return out
+
+
+def _close(n: int, s: np.ndarray, n2: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Which of the sets may be similar to the one."""
+    return np.isfinite(_gaps(n, s, n2, s2))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -270,42 +280,49 @@ def _printed(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def _met(apart: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different roots that share a key and that neither sizes nor sketches rule out.
-
-    Keys with the same nodes are one group. A group is dealt into tiles by hash, each pair of tiles is one row: at most
-    about two tiles are ever together, and only pairs that pass are emitted.
-    """
+def _dealt(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, root, tiles, n, sketch) of apart(key, node, root): keys with the same nodes are one group."""
     h = F.xxhash64("node")
     groups = apart.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(h.cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("s2"))
-    one = stored(groups.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "groups")
-    dealt = stored(apart.join(one, "key").select("key", "node", "root", "tiles").join(nodes.select("node", "n", "sketch"), "node"), "dealt")
+    one = groups.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    return stored(apart.join(stored(one, "groups"), "key").select("key", "node", "root", "tiles").join(nodes.select("node", "n", "sketch"), "node"), "dealt")
+
+
+def _met(dealt: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """Pairs (a, b) of different roots that share a key and that neither sizes nor sketches rule out, for each text and pair
+    of tiles the most closest ones; and whether there are more.
+
+    A group is dealt into tiles by hash, each pair of tiles is one row: at most about two tiles are ever together.
+    """
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     spread = dealt.withColumn("tile", own).select("key", F.struct("node", "root", "n", "sketch", "tile").alias("x"), "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     lists = spread.groupBy("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")).agg(F.collect_list("x").alias("x")).where("size(x) > 1").select("lo", "hi", "x")
 
     def run(batches):
         for b in batches:
-            found = [np.zeros((2, 0), np.int64)]
+            found, more = [np.zeros((2, 0), np.int64)], False
             for lo, hi, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 x = x.values
                 node, root, n, tile = (x.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("node", "root", "n", "tile"))
+                if (root == root[0]).all():
+                    continue
                 raw = [np.frombuffer(y, np.int8) for y in x.field("sketch").to_pylist()]
                 kinds = np.array(list(map(len, raw)))
-                right = [at for k in np.unique(kinds) if len(at := np.flatnonzero((tile == hi) & (kinds == k)))]
-                sets = [(at, np.stack([raw[j] for j in at])) for at in right]
+                sets = [(at, np.stack([raw[j] for j in at])) for k in np.unique(kinds) if len(at := np.flatnonzero((tile == hi) & (kinds == k)))]
                 for i in np.flatnonzero(tile == lo).tolist():
+                    gap = np.full(len(node), np.inf)
                     for at, s in sets:
                         apart = (root[at] != root[i]) & ((node[at] > node[i]) | (lo != hi))
-                        j = at[apart][_close(int(n[i]), raw[i], n[at][apart], s[apart])]
-                        found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-            a, b = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                        gap[at[apart]] = _gaps(int(n[i]), raw[i], n[at][apart], s[apart])
+                    j = np.flatnonzero(np.isfinite(gap))
+                    if len(j) > most:
+                        more, j = True, j[np.argsort(gap[j], kind="stable")[:most]]
+                    found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)  # groups of a batch repeat pairs
+            yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *([None] if more else [])], pa.int64()), pa.array([*b.tolist(), *([None] if more else [])], pa.int64())], names=["a", "b"])
 
     out = stored(lists.mapInArrow(run, "a long, b long").distinct(), "pairs")
-    for t in (one, dealt):
-        dropped(t)
-    return out
+    return out.where("a is not null"), not out.where("a is null").isEmpty()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,9 +330,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Jaccard similarity 0.8 or more.
 
     Texts with equal shingle hashes are one node. Links come from fingerprints first. Then, in each group that shares an
-    early shingle, all that is still apart from the text that stands earliest there is compared with it, and pairs that
-    this leaves in different components are compared in full, so that a large group of near copies costs about as many
-    comparisons as it has members. Nulls: a null text counts as empty, and texts without words are one node; a null id
+    early shingle, all that is still apart from the text that stands earliest there is compared with it. Pairs that this
+    leaves in different components are compared closest first, in rounds, until none is left, so that a large group of
+    near copies costs about as many comparisons as it has members. Nulls: a null text counts as empty, and texts without words are one node; a null id
     is an id like any other here. Repeated rows share a key and a node. Ties do not matter: roots are minima of nodes. An
     empty table gives an empty result. Columns that docs has besides are part of a row's key only.
     """
@@ -336,19 +353,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = shared.where("node <> p").where(_possible(F.col("at"), F.col("p_at"))).select("node", "p").distinct()
     near = _rooted(near, roots).join(roots.toDF("p", "p_root"), "p", "left").where("root <> coalesce(p_root, p)")
     pairs = stored(near.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), "pairs")
-    more = _verified(stored(_plausible(pairs, nodes), "likely"), rows, nodes)
-    links = links.union(more)
+    links = links.union(_verified(stored(_plausible(pairs, nodes), "likely"), rows, nodes))
     dropped(roots)
     roots = stored(components(links), "roots")
 
     # what is not connected yet, though it shares a shingle
     labelled = _rooted(shared.select("key", "node"), roots)
     apart = stored(labelled.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).where("low <> high").select("key", "node", "root"), "apart")
-    done = printed.union(pairs)
-    rest = stored(_met(apart, nodes).join(done, ["a", "b"], "left_anti"), "pairs")
-    last = _verified(rest, rows, nodes)
-    ends = stored(components(links.union(last)), "roots")
+    done, dealt = printed.union(pairs), _dealt(apart, nodes)
+    ends = roots
+    for most in CLOSEST:
+        met, more = _met(dealt, most)
+        rest = stored(met.join(done, ["a", "b"], "left_anti"), "pairs")
+        links, done = links.union(_verified(rest, rows, nodes)), done.union(rest)
+        ends = stored(components(links), "roots")
+        if not more:
+            break
+        dealt = stored(_rooted(dealt.drop("root"), ends), "dealt")
     out = stored(_rooted(read.where("node is not null").select("id", "row", "node"), ends).select("id", "row", "node", "root"), "groups")
-    for t in (read, nodes, printed, shared, pairs, more, roots, apart, rest, last, ends):
+    for t in (read, nodes, printed, shared, pairs, roots, apart):
         dropped(t)
     return out

@@ -84,6 +84,7 @@ def test_sketches_rule_out_no_similar_pair():
 def test_a_group_larger_than_tiles_meets_whole(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "TILE", 3)
     monkeypatch.setattr(near_copies, "OFTEN", 10**6)
+    monkeypatch.setattr(near_copies, "CLOSEST", (1, 2, 1 << 62))
     rng = random.Random(8)
     passage = [f"p{k}" for k in range(30)]
     bases = [[f"v{i}_{k}" for k in range(8)] + passage for i in range(25)]
