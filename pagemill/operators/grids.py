@@ -88,7 +88,7 @@ def _spanned(t: DataFrame) -> DataFrame:
     kind = F.when(F.col("last").isNull(), F.col("cell_type")).when(is_main(F.col("last")), "merged").otherwise("empty")
     return e.select(
         "table_id", "row", "col", extent("rs").alias("rowspan"), extent("cs").alias("colspan"), kind.alias("cell_type"), F.coalesce("main.score", "confidence").alias("confidence"),
-        (F.array_min("part.rs") * 100000 + F.array_min("part.cs")).alias("span_main"),
+        F.when(F.col("part").isNotNull(), F.struct(F.array_min("part.rs").alias("row"), F.array_min("part.cs").alias("col"))).alias("span_main"),
     )
 
 
@@ -96,7 +96,7 @@ def spanned(parsed_: DataFrame) -> DataFrame:
     """cells() after the table's spanning cells, applied in order: rowspan, colspan, cell_type, confidence, span_main.
 
     The first cell that a span covers (by row, then column) becomes merged and takes the span's extent and score; the
-    other ones become empty and name it (row * 100000 + column). Of several spans the last one decides each of these.
+    other ones become empty and name it (span_main: row, col). Of several spans the last one decides each of these.
     """
     return _spanned(tables(parsed_))
 

@@ -1,7 +1,8 @@
 """Image kernels that no column expression holds: a page's action list folded over its pixels, one image at a time.
 
-Images are (image_id, height, width, data) with data the gray bytes in row order. Contrast, shadow, denoise and skew
-kernels are the plain NumPy forms of their methods, not bit-equal to an image library's; the others are exact.
+Images are (image_id, height, width, data) with data the gray bytes in row order. Filters go over a page in strips.
+Contrast, shadow and skew kernels are the plain NumPy forms of their methods, not bit-equal to an image library's;
+denoising is a median in place of non-local means; the others are exact.
 """
 
 from __future__ import annotations
@@ -12,12 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-Kernel = Callable[[np.ndarray], np.ndarray]
-
+from .parts import edges, gauss, medians, parts, straight_lines, weighted
 
-def _windows(img: np.ndarray, size: int) -> np.ndarray:
-    pad = size // 2
-    return np.lib.stride_tricks.sliding_window_view(np.pad(img, pad, mode="edge"), (size, size))
+Kernel = Callable[[np.ndarray], np.ndarray]
 
 
 def _byte(x: np.ndarray) -> np.ndarray:
@@ -41,31 +39,42 @@ def equalize(img: np.ndarray) -> np.ndarray:
 
 
 def local_contrast(img: np.ndarray, tiles: int = 8, clip: float = 3.0) -> np.ndarray:
-    """Equalisation of each tile with a clipped histogram."""
-    out = img.copy()
-    for ys in np.array_split(np.arange(img.shape[0]), tiles):
-        for xs in np.array_split(np.arange(img.shape[1]), tiles):
-            if len(ys) and len(xs):
-                part = img[np.ix_(ys, xs)]
-                n = np.bincount(part.ravel(), minlength=256).astype(float)
-                limit = max(1.0, clip * part.size / 256)
-                extra = np.maximum(n - limit, 0).sum()
-                cdf = np.cumsum(np.minimum(n, limit) + extra / 256)
-                out[np.ix_(ys, xs)] = _byte(cdf / cdf[-1] * 255)[part]
+    """Equalisation with clipped histograms of tiles, each pixel between the four tiles around it by distance."""
+    h, w = img.shape
+    rows, cols = min(tiles, h), min(tiles, w)
+    maps = np.empty((rows, cols, 256))
+    for i, ys in enumerate(np.array_split(np.arange(h), rows)):
+        for j, xs in enumerate(np.array_split(np.arange(w), cols)):
+            part = img[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]
+            n = np.bincount(part.ravel(), minlength=256).astype(float)
+            limit = max(1.0, clip * part.size / 256)
+            cdf = np.cumsum(np.minimum(n, limit) + np.maximum(n - limit, 0).sum() / 256)
+            maps[i, j] = cdf / cdf[-1] * 255
+
+    def between(n, count):
+        at = np.clip((np.arange(n) + 0.5) * count / n - 0.5, 0, count - 1)
+        low = np.minimum(at.astype(int), max(count - 2, 0))
+        return low, np.minimum(low + 1, count - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = between(h, rows), between(w, cols)
+    out = np.empty_like(img)
+    for y in range(h):
+        v = img[y]
+        top = (1 - fx) * maps[y0[y], x0, v] + fx * maps[y0[y], x1, v]
+        low = (1 - fx) * maps[y1[y], x0, v] + fx * maps[y1[y], x1, v]
+        out[y] = _byte((1 - fy[y]) * top + fy[y] * low)
     return out
 
 
 def crisp(img: np.ndarray) -> np.ndarray:
     """Nine times a pixel less its eight neighbours, within a byte; edges are mirrored. What PDF pages get."""
-    wide = np.pad(img.astype(float), 1, mode="reflect" if min(img.shape) > 1 else "edge")
-    around = np.lib.stride_tricks.sliding_window_view(wide, (3, 3)).sum(axis=(2, 3))
-    return _byte(10 * img.astype(float) - around)
+    return _byte(10 * img.astype(float) - weighted(img, np.ones(3), "reflect"))
 
 
 def basic(img: np.ndarray, contrast: float = 1.2, sharpness: float = 1.1, value: float = 0.8) -> np.ndarray:
     """The basic level: contrast about the mean, a little sharpening against the smoothed image, gamma."""
     x = np.clip(img.mean() + contrast * (img.astype(float) - img.mean()), 0, 255)
-    smooth = (_windows(x, 3).sum(axis=(2, 3)) + 4 * x) / 13
+    smooth = (weighted(x, np.ones(3)) + 4 * x) / 13
     return gamma(_byte(smooth + sharpness * (x - smooth)), value)
 
 
@@ -78,47 +87,59 @@ def gamma(img: np.ndarray, value: float = 1.2) -> np.ndarray:
 
 
 def adaptive(img: np.ndarray, size: int = 11, offset: float = 2.0) -> np.ndarray:
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
-    k /= k.sum()
-    mean = np.einsum("yxij,i,j->yx", _windows(img.astype(float), size), k, k)
-    return np.where(img > mean - offset, 255, 0).astype(np.uint8)
+    return np.where(img > weighted(img, gauss(size)) - offset, 255, 0).astype(np.uint8)
 
 
 def unshadow(img: np.ndarray, size: int = 21) -> np.ndarray:
-    back = _windows(img, size).max(axis=(2, 3)).astype(float)
-    back = _windows(back, size).mean(axis=(2, 3))
-    return _byte(img / np.maximum(back, 1) * 255)
+    """A page over its background: the smoothed maximum around each pixel."""
+    pad, (h, w) = size // 2, img.shape
+    wide = np.pad(img, pad, mode="edge")
+    across = np.maximum.reduce([wide[:, i : i + w] for i in range(size)])
+    back = np.maximum.reduce([across[i : i + h] for i in range(size)])
+    return _byte(img / np.maximum(weighted(back, np.full(size, 1 / size)), 1) * 255)
 
 
 def crop(img: np.ndarray, margin: int = 20) -> np.ndarray:
-    ink = img <= threshold(img)
-    ys, xs = np.flatnonzero(ink.any(axis=1)), np.flatnonzero(ink.any(axis=0))
-    if not len(ys) or ink.all():
+    """The box of the largest part of the ink, with a margin; the first of equal ones."""
+    if img.min() == img.max():
         return img
-    return img[max(0, ys[0] - margin) : ys[-1] + 1 + margin, max(0, xs[0] - margin) : xs[-1] + 1 + margin]
+    found = parts(img <= threshold(img))
+    x0, y0, x1, y1 = max(found, key=lambda p: p["area"])["box"]
+    x, y = max(0, x0 - margin), max(0, y0 - margin)
+    return img[y : y + min(img.shape[0] - y, y1 - y0 + 2 * margin), x : x + min(img.shape[1] - x, x1 - x0 + 2 * margin)]
 
 
-def deskew(img: np.ndarray, most: float = 10.0, step: float = 0.5) -> np.ndarray:
-    """Shear by the angle whose row profile is sharpest."""
+def deskew(img: np.ndarray) -> np.ndarray:
+    """Turned by the median angle of its near-horizontal lines, on white, large enough to hold the whole page."""
+    angles = [d - 90 for _, d in straight_lines(edges(img), 100) if abs(d - 90) < 45]
+    angle = float(np.median(angles)) if angles else 0.0
+    return turned(img, angle) if angle else img
+
+
+def turned(img: np.ndarray, degrees: float) -> np.ndarray:
+    """The page turned about its centre, counter-clockwise, by the nearest four pixels; beyond it white."""
     h, w = img.shape
-    x = np.arange(w) - w / 2
-    best, score = 0.0, -1.0
-    for a in np.arange(-most, most + step / 2, step):
-        y = np.clip(np.arange(h)[:, None] + np.rint(np.tan(np.radians(a)) * x).astype(int), 0, h - 1)
-        s = float(np.var(img[y, np.arange(w)].astype(float).sum(axis=1)))
-        if s > score * (1 + 1e-9) or (abs(s - score) <= 1e-9 * max(s, 1) and abs(a) < abs(best)):
-            best, score = float(a), s
-    y = np.clip(np.arange(h)[:, None] + np.rint(np.tan(np.radians(best)) * x).astype(int), 0, h - 1)
-    return img[y, np.arange(w)]
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    nh, nw = int(h * abs(c) + w * abs(s)), int(h * abs(s) + w * abs(c))
+    out = np.empty((nh, nw), np.uint8)
+    wide = np.pad(img.astype(float), 1, constant_values=255)
+    x = np.arange(nw) - nw / 2
+    for y in range(nh):
+        dy = y - nh / 2
+        sx, sy = np.clip(c * x - s * dy + w / 2, -1, w), np.clip(s * x + c * dy + h / 2, -1, h)
+        x0, y0 = np.minimum(np.floor(sx), w - 1).astype(int), np.minimum(np.floor(sy), h - 1).astype(int)
+        fx, fy = sx - x0, sy - y0
+        four = [wide[y0 + 1 + a, x0 + 1 + b] * (fy if a else 1 - fy) * (fx if b else 1 - fx) for a in (0, 1) for b in (0, 1)]
+        out[y] = _byte(sum(four))
+    return out
 
 
 #: Action -> kernel. An action without a kernel leaves the image as it is.
 KERNELS: dict[str, Kernel] = {
     "rotate_90_cw": lambda i: np.rot90(i, -1), "rotate_90_ccw": lambda i: np.rot90(i, 1), "rotate_180": lambda i: np.rot90(i, 2), "straighten_perspective": lambda i: i,
     "binarize": lambda i: np.where(i > threshold(i), 255, 0).astype(np.uint8), "histogram_equalization": equalize, "enhance_contrast": local_contrast, "sharpen": sharpen,
-    "gamma_correction": gamma, "adaptive_threshold": adaptive, "remove_shadows": unshadow, "crop_margins": crop, "deskew": deskew,
-    "denoise": lambda i: np.median(_windows(i, 3), axis=(2, 3)).astype(np.uint8),
+    "gamma_correction": gamma, "adaptive_threshold": adaptive, "remove_shadows": unshadow, "crop_margins": crop, "deskew": deskew, "basic": basic,
+    "denoise": lambda i: medians(i, 3),
 }
 
 

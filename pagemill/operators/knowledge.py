@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import FALLBACK_TABLE
+
 
 def last_mentions(entities: DataFrame) -> DataFrame:
     """Of a document's mentions of one name the last one's type."""
@@ -41,9 +43,16 @@ def resolved(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def rule_triplets(rows: DataFrame, keys: list[str], first: int = 3) -> DataFrame:
     """(table_id, pos, subject, predicate, object, confidence, sentence) from the first rows of each table: one per key
-    with a value. rows: table_id, pos (from 1), row_header, keys; a missing header is parameter_i (from 0)."""
+    with a value: not null, the empty text, zero or false. rows: table_id, pos (from 1), row_header, keys; a missing
+    header is parameter_i (from 0)."""
     subject = F.coalesce("row_header", F.concat(F.lit("parameter_"), (F.col("pos") - 1).cast("string")))
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys]))
+    kinds = dict(rows.dtypes)
+
+    def value(k):
+        held = F.col(k) if kinds[k] == "boolean" else F.col(k) != ("" if kinds[k] == "string" else 0)
+        return F.when(held, F.col(k).cast("string"))
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), value(k).alias("value")) for k in keys]))
     out = rows.where(F.col("pos") <= first).select("table_id", "pos", subject.alias("subject"), pairs.alias("p")).where("p.value <> ''")
     return out.select("table_id", "pos", "subject", F.lit("related_to").alias("predicate"), F.col("p.value").alias("object"), F.lit(0.6).alias("confidence"), F.concat_ws(" ", "subject", F.lit("has"), "p.key", F.lit("of"), "p.value").alias("sentence"))
 
@@ -77,9 +86,24 @@ def graph(triplets: DataFrame) -> DataFrame:
 
 
 def ontology(entities: DataFrame) -> DataFrame:
-    """One class per entity type: its number of instances, its first and last name, its parent."""
-    named = entities.select("entity_type", "name").distinct()
-    return named.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_instances"), F.min("name").alias("first_name"), F.max("name").alias("last_name")).withColumn("parent", F.lit("entity"))
+    """One class per entity type: its number of instances, its first and last name, its parent. The instances themselves
+    are rows, see instances(): a type can have very many."""
+    return instances(entities).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_instances"), F.min("name").alias("first_name"), F.max("name").alias("last_name")).withColumn("parent", F.lit("entity"))
+
+
+def instances(entities: DataFrame) -> DataFrame:
+    """(entity_type, name, documents): each instance of a class once, with how many documents name it."""
+    return entities.groupBy("entity_type", "name").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+def entity(name: Column, entity_type: Column, source: Column | None = None, confidence: float = 0.8) -> Column:
+    """An entity's struct; its aliases are none."""
+    return F.struct(name.alias("name"), entity_type.alias("entity_type"), F.array().cast("array<string>").alias("aliases"), F.lit(confidence).alias("confidence"), (F.lit(None).cast("string") if source is None else source).alias("source_text"))
+
+
+def triplet(subject: Column, predicate: Column, object_: Column, sentence: Column, page: Column, confidence: float = 0.8) -> Column:
+    """A triplet's struct of two entities."""
+    return F.struct(subject.alias("subject"), predicate.alias("predicate"), object_.alias("object"), F.lit(confidence).alias("confidence"), sentence.alias("source_sentence"), page.alias("page_number"))
 
 
 def data_rows(rows: DataFrame) -> DataFrame:
@@ -120,13 +144,32 @@ def shown_rows(rows: DataFrame, head: int = 20, tail: int = 3, over: int = 25) -
     return rows.withColumn("n", n).where((F.col("pos") <= head) | ((F.col("n") > over) & (F.col("pos") > F.col("n") - tail))).drop("n")
 
 
+def row_line(pos: Column, keys: list[str]) -> Column:
+    """A row as a prompt's line: its values as JSON with blanks after `:` and `,`; null values stay."""
+    one = lambda k: F.concat(F.to_json(F.array(F.lit(k))), F.lit(": "), F.to_json(F.array(F.col(k)), {"ignoreNullFields": "false"}))
+    body = F.concat_ws(", ", *[F.regexp_replace(one(k), r"^\[(.*)\]: \[((?s).*)\]$", "$1: $2") for k in keys])
+    return F.concat(F.lit("Row "), pos.cast("string"), F.lit(": {"), body, F.lit("}"))
+
+
+def shown_values(values: Column) -> Column:
+    """The values of a row that a list shows: those with text."""
+    return F.map_filter(values, lambda k, v: v != "")
+
+
 def fallback_tables(failed: DataFrame) -> DataFrame:
-    """What stands in for a table whose extraction failed: 2 by 2, confidence 0.3."""
-    return failed.withColumns({"rows": F.lit(2), "cols": F.lit(2), "structure_confidence": F.lit(0.3)})
+    """What stands in for a table whose extraction failed: 2 by 2, confidence 0.3, its headers, cells and one data row."""
+    cell = lambda r, c, text, kind: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(text).alias("content"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.lit(kind).alias("cell_type"), F.lit(0.3).alias("confidence"))
+    (h0, h1), (v0, v1) = FALLBACK_TABLE
+    return failed.withColumns({
+        "rows": F.lit(2), "cols": F.lit(2), "structure_confidence": F.lit(0.3), "headers": F.array(F.lit(h0), F.lit(h1)),
+        "cells": F.array(cell(0, 0, h0, "header"), cell(0, 1, h1, "header"), cell(1, 0, v0, "data"), cell(1, 1, v1, "data")),
+        "data_rows": F.array(F.create_map(F.lit(h0), F.lit(v0), F.lit(h1), F.lit(v1))), "extraction_method": F.lit("manual"),
+    })
 
 
 def rule_triplets_of_maps(rows: DataFrame, first: int = 3) -> DataFrame:
-    """rule_triplets() for rows whose values are a map (table_id, pos, row_header, data): one per key with a value."""
+    """rule_triplets() for rows whose values are a map of texts (table_id, pos, row_header, data): one per key with a
+    value, which is any text but the empty one."""
     subject = F.coalesce("row_header", F.concat(F.lit("parameter_"), (F.col("pos") - 1).cast("string")))
     out = rows.where(F.col("pos") <= first).select("table_id", "pos", subject.alias("subject"), F.explode("data").alias("key", "object")).where("key <> 'row_header' and object <> ''")
     return out.select("table_id", "pos", "subject", F.lit("related_to").alias("predicate"), "object", F.lit(0.6).alias("confidence"), F.concat_ws(" ", "subject", F.lit("has"), "key", F.lit("of"), "object").alias("sentence"))

@@ -58,9 +58,9 @@ class Parameters:
             raise ValueError("max_tokens: 100 to 8192")
 
 
-def ask(df: DataFrame, task: str, request: Column, provider: type[Provider] = Offline, fallback: Column | None = None) -> DataFrame:
-    """df with the task's answer, its source (model or fallback) and raw text."""
-    return inferred(df, request, TASKS[task], provider, fallback)
+def ask(df: DataFrame, task: str, request: Column, provider: type[Provider] = Offline, fallback: Column | None = None, image: str | None = None) -> DataFrame:
+    """df, without the image column, with the task's answer, its source (model or fallback) and raw text."""
+    return inferred(df, request, TASKS[task], provider, fallback, image)
 
 
 def layout_regions(answered: DataFrame, *keys: str) -> DataFrame:

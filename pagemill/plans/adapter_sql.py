@@ -46,7 +46,7 @@ CTES = {
     last AS (SELECT table_id, "row", col, max_by(CASE WHEN is_main THEN 'merged' ELSE 'empty' END, span) AS kind, max_by(rs, span) FILTER (is_main) AS rs, max_by(cs, span) FILTER (is_main) AS cs, max_by(score, span) FILTER (is_main) AS score, max_by(main, span) FILTER (NOT is_main) AS span_main FROM marked GROUP BY ALL),
     spanned AS (SELECT c.table_id, c."row", c.col, coalesce(rs, 1) AS rowspan, coalesce(cs, 1) AS colspan, coalesce(kind, cell_type) AS cell_type, coalesce(score, 0.8::DOUBLE) AS confidence, span_main FROM grid_cells c LEFT JOIN last USING (table_id, "row", col))""",
     "records": """records AS (SELECT table_id, greatest(n_rows, 1) AS rows, greatest(n_cols, 1) AS cols, n_headers, has_spans, structure_confidence FROM grid)""",
-    "kv_rows": """kv_rows AS (SELECT p_brand AS table_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos, p_name AS row_header, p_type, p_size FROM part)""",
+    "kv_rows": """kv_rows AS (SELECT p_brand AS table_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos, p_name AS row_header, p_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS p_size FROM part)""",
     "semantic_rows": """semantic_rows AS (SELECT event_id, event_type AS row_header, CASE WHEN event_id % 2 = 1 THEN json_keys(props) ELSE [] END AS ks, CASE WHEN event_id % 2 = 1 THEN list_transform(json_keys(props), lambda k: json_extract_string(props, '$.' || k)) ELSE [] END AS vs, CASE WHEN event_id % 3 <> 0 THEN user_id::VARCHAR END AS single_value FROM events)""",
     "entity_mentions": f"""entity_mentions AS (SELECT c_nationkey AS doc_id, c_custkey AS pos, c_name AS name, {case(ENTITY_OF_SEGMENT, "c_mktsegment", "'other'")} AS entity_type FROM customer WHERE c_acctbal > 0
         UNION ALL SELECT c_nationkey, c_custkey + 1000000000, c_name, 'event' FROM customer WHERE c_acctbal > 0 AND c_custkey % 7 = 0)""",
@@ -86,5 +86,11 @@ CTES = {
 }
 
 
+CTES["upright_votes"] = CTES["line_votes"] + """,
+    upright_votes AS (SELECT page_id, pos, rho, 88::DOUBLE + deg % 17 AS deg FROM line_votes)"""
+CTES["sparse"] = CTES["cells"] + """,
+    sparse AS (SELECT table_id, "row", col, CASE WHEN col = 0 OR "row" % 2 = 0 THEN text END AS text FROM cells)"""
+
+
 def sql(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(CTES[c] for c in ctes) + "\n" + select

@@ -1,7 +1,4 @@
-"""Registered queries: each operator over a whole table, with DuckDB SQL for the same rows.
-
-Computed doubles are rounded to six decimals on both sides, as sums of doubles depend on their order.
-"""
+"""Registered queries: each operator over a whole table, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
@@ -19,49 +16,7 @@ from ..schemas import ACTION_GROUP, ACTION_RANK, CONDITION_MODIFIER, HORIZONTAL,
 from ..sources import sinks
 from ..sources import tables as S
 from .adapter_sql import case, sql, variance
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def near(c):
-    """Six decimals by the same arithmetic in both engines: their own rounding differs on ties."""
-    return F.floor((F.col(c) if isinstance(c, str) else c) * 1e6 + 0.5) / 1e6
-
-
-def _near_sql(text: str) -> str:
-    """round(x, 6) as near() writes it."""
-    out, i = "", 0
-    while (j := text.find("round(", i)) >= 0:
-        k, depth = j + 6, 1
-        while depth:
-            depth += (text[k] == "(") - (text[k] == ")")
-            k += 1
-        inner = text[j + 6 : k - 1]
-        out += text[i:j] + (f"(floor(({inner[:-3]})::DOUBLE * 1e6 + 0.5) / 1e6)" if inner.endswith(", 6") else text[j:k])
-        i = k
-    return out + text[i:]
-
-
-def query(oracle: str | None = None):
-    """Register a query under its function's name."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = _near_sql(oracle)
-        return f
-
-    return put
-
-
-def r6(*names: str):
-    return [near(n).alias(n) for n in names]
-
-
-def rd(names: str) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names.split())
-
+from .registry import ORACLES, QUERIES, near, query, r6, rd
 
 # Knowledge
 
@@ -71,7 +26,7 @@ def kv_triplets(spark, sf_dir):
 
 
 FALLBACK = """SELECT table_id, pos, row_header AS subject, 'related_to' AS predicate, v AS object, 0.6::DOUBLE AS confidence, row_header || ' has ' || k || ' of ' || v AS sentence
-FROM (SELECT table_id, pos, row_header, unnest(['p_type', 'p_size']) AS k, unnest([p_type, p_size::VARCHAR]) AS v FROM kv_rows WHERE pos <= 3) WHERE v <> ''"""
+FROM (SELECT table_id, pos, row_header, unnest(['p_type', 'p_size']) AS k, unnest([p_type, CASE WHEN p_size <> 0 THEN p_size::VARCHAR END]) AS v FROM kv_rows WHERE pos <= 3) WHERE v <> ''"""
 
 
 @query(sql("kv_rows", select=FALLBACK))
@@ -142,17 +97,17 @@ def semantic_cells(spark, sf_dir):
     return N.semantic_cells(S.semantic_rows(spark, sf_dir))
 
 
-@query(sql("kv_rows", select="""SELECT table_id, pos, 'Row ' || pos || ': {"row_header":"' || row_header || '","p_type":"' || p_type || '","p_size":' || p_size || '}' AS line FROM (SELECT *, count(*) OVER (PARTITION BY table_id) AS n FROM kv_rows) WHERE pos <= 20 OR (n > 25 AND pos > n - 3)"""))
+@query(sql("kv_rows", select="""SELECT table_id, pos, 'Row ' || pos || ': {"row_header": "' || row_header || '", "p_type": "' || p_type || '", "p_size": ' || p_size || '}' AS line FROM (SELECT *, count(*) OVER (PARTITION BY table_id) AS n FROM kv_rows) WHERE pos <= 20 OR (n > 25 AND pos > n - 3)"""))
 def row_preview_sample(spark, sf_dir):
     shown = N.shown_rows(S.kv_rows(spark, sf_dir))
-    return shown.select("table_id", "pos", F.concat(F.lit("Row "), F.col("pos").cast("string"), F.lit(": "), F.to_json(F.struct("row_header", "p_type", "p_size"), {"ignoreNullFields": "false"})).alias("line"))
+    return shown.select("table_id", "pos", N.row_line(F.col("pos"), ["row_header", "p_type", "p_size"]).alias("line"))
 
 
-@query("SELECT event_id, event_type AS row_header, len(list_filter(list_transform(json_keys(props), lambda k: json_extract_string(props, '$.' || k)), lambda v: v <> '')) AS shown FROM events WHERE event_id % 2 = 1")
+@query("SELECT event_id, event_type AS row_header, len(list_filter(list_transform(json_keys(props), lambda k: json_extract_string(props, '$.' || k)), lambda v: v <> '')) AS shown FROM events")
 def display_rows(spark, sf_dir):
     held = F.from_json("props", "map<string,string>")
     d = S.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("row_header"), held.alias("values"))
-    return d.select("event_id", "row_header", F.size(F.map_filter("values", lambda k, v: v != "")).cast("long").alias("shown"))
+    return d.select("event_id", "row_header", F.size(N.shown_values(F.col("values"))).cast("long").alias("shown"))
 
 
 @query("""WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS lang, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 0.25::DOUBLE END AS conf FROM orders)
@@ -315,9 +270,10 @@ def grid_cells(spark, sf_dir):
     return M.cells(M.parsed(S.detections(spark, sf_dir)))
 
 
-@query(sql(*GRID, "spanned", select="SELECT * FROM spanned"))
+@query(sql(*GRID, "spanned", select="SELECT * EXCLUDE (span_main), span_main // 100000 AS main_row, span_main % 100000 AS main_col FROM spanned"))
 def spanning_cells(spark, sf_dir):
-    return M.spanned(M.parsed(S.detections(spark, sf_dir)))
+    s = M.spanned(M.parsed(S.detections(spark, sf_dir)))
+    return s.select("*", F.col("span_main.row").alias("main_row"), F.col("span_main.col").alias("main_col")).drop("span_main")
 
 
 @query(sql(*PARSED, select="""SELECT table_id, pos, level, 'Header_L' || level AS text, array_to_string(range(trunc(x * 10)::INT, trunc((x + w) * 10)::INT + 1), ',') AS columns
@@ -377,7 +333,7 @@ def span_fill_rows(spark, sf_dir):
     return s.select("table_id", "row", *(F.coalesce(F.try_element_at("values", F.lit(k)), F.lit("")).alias(k) for k in ("flag", "status", "option")))
 
 
-LOOKUP = 'SELECT b.table_id, b."row", b.col, b.text, t.text AS column_header, s.text AS row_header FROM cells b LEFT JOIN cells t ON t.table_id = b.table_id AND t."row" = 0 AND t.col = b.col LEFT JOIN cells s ON s.table_id = b.table_id AND s."row" = b."row" AND s.col = 0 WHERE b."row" > 0 AND b.col > 0'
+LOOKUP = 'SELECT table_id, "row", col, text, column_header, row_header FROM (SELECT *, max(text) FILTER ("row" = 0) OVER (PARTITION BY table_id, col) AS column_header, max(text) FILTER (col = 0) OVER (PARTITION BY table_id, "row") AS row_header FROM cells) WHERE "row" > 0 AND col > 0'
 
 
 @query(sql("cells", select=LOOKUP))
@@ -395,9 +351,9 @@ def option_rows(spark, sf_dir):
     return M.options(S.cells(spark, sf_dir))
 
 
-@query(sql("cells", select="""SELECT table_id, "row", title FROM (SELECT table_id, "row", bool_or(col = 0 AND trim(coalesce(text, '')) <> '') AS f, count(*) FILTER (col > 0 AND trim(coalesce(text, '')) <> '') AS o, arg_min(text, col) AS title FROM cells WHERE col <> 3 GROUP BY ALL) WHERE f AND o = 0"""))
+@query(sql("sparse", select="""SELECT table_id, "row", title FROM (SELECT table_id, "row", bool_or(col = 0 AND trim(coalesce(text, '')) <> '') AS f, count(*) FILTER (col > 0 AND trim(coalesce(text, '')) <> '') AS o, arg_min(text, col) AS title FROM sparse GROUP BY ALL) WHERE f AND o = 0"""))
 def section_titles(spark, sf_dir):
-    return M.section_titles(S.cells(spark, sf_dir).where("col <> 3"))
+    return M.section_titles(S.sparse_cells(spark, sf_dir))
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber AS "row", l_linenumber % 3 AS col, (l_suppkey % 3 + 1) AS rowspan, (l_partkey % 2 + 1) AS colspan FROM lineitem""")
@@ -549,7 +505,7 @@ FROM (SELECT p_partkey, (p_size * 200)::INT AS w, (p_partkey % 5000 + 1)::INT AS
 def resize_size(spark, sf_dir):
     p = S.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 200).cast("int").alias("w"), (F.col("p_partkey") % 5000 + 1).cast("int").alias("h"))
     w, h = J.resized(F.col("w"), F.col("h"))
-    return p.select("p_partkey", w.alias("width"), h.alias("height"), near(F.col("w") / F.col("h")).alias("aspect"))
+    return p.select("p_partkey", w.alias("width"), h.alias("height"), near(G.aspect(F.col("w"), F.col("h"))).alias("aspect"))
 
 
 # Lines, rotation, skew
@@ -591,13 +547,12 @@ def rotation_conditions(spark, sf_dir):
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "c.condition", "c.severity", F.col("c.actions")[0].alias("action"))
 
 
-UPRIGHT = SKEW.replace("FROM line_votes", "FROM line_votes WHERE deg BETWEEN 88 AND 104")
+UPRIGHT = SKEW.replace("FROM line_votes", "FROM upright_votes")
 
 
-@query(sql("line_votes", select="").rstrip() + ",\n" + UPRIGHT + " SELECT page_id, CASE WHEN abs(angle) >= 10 THEN 'severe' ELSE 'moderate' END AS severity, 'deskew' AS action FROM sk WHERE abs(angle) >= 2 AND confidence >= 0.5")
+@query(sql("upright_votes", select="").rstrip() + ",\n" + UPRIGHT + " SELECT page_id, CASE WHEN abs(angle) >= 10 THEN 'severe' ELSE 'moderate' END AS severity, 'deskew' AS action FROM sk WHERE abs(angle) >= 2 AND confidence >= 0.5")
 def skew_conditions(spark, sf_dir):
-    votes = S.line_votes(spark, sf_dir).where("deg BETWEEN 88 AND 104")
-    s = J.skew(votes).withColumn("c", C.of_skew(F.col("angle"), F.col("confidence"))).where("c is not null")
+    s = J.skew(S.upright_votes(spark, sf_dir)).withColumn("c", C.of_skew(F.col("angle"), F.col("confidence"))).where("c is not null")
     return s.select("page_id", "c.severity", F.col("c.actions")[0].alias("action"))
 
 
@@ -741,7 +696,7 @@ def kernel_actions(spark, sf_dir):
     return kernels.apply_actions(images).select("image_id", "height", "width", F.md5("data").alias("md5"), F.array_join("applied", ",").alias("applied"), "success")
 
 
-@query()
+@query("SELECT page_id, 'model' AS source, CASE WHEN trim(html) <> '' THEN 1 ELSE 0 END AS total_regions FROM pages")
 def offline_layout(spark, sf_dir):
     """Layout inference of every page by the offline provider, its answers parsed against the layout's schema."""
     from ..schemas import LAYOUT
@@ -749,3 +704,6 @@ def offline_layout(spark, sf_dir):
     p = S.table(spark, sf_dir, "pages").select("page_id", "html")
     out = L.inferred(p, F.col("html"), LAYOUT)
     return out.select("page_id", "source", F.col("answer.total_regions").alias("total_regions"))
+
+
+from . import catalog_flows, catalog_kernels, catalog_values  # noqa: E402, F401  their queries register themselves

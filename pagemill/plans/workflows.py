@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import prompts
+from ..functions.text import stripped
 from ..operators import conditions as C
 from ..operators import grids as M
 from ..operators import inference, kernels, models
 from ..operators import knowledge as N
 from ..operators import pixels as J
 from ..operators import regions as R
-from ..schemas import PRESETS
+from ..schemas import DOCUMENT_CLASSES, PRESETS
 from ..sources import files, sinks
+from ..sources.shared import kept
 
 
 def cropped_pages(pages: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -40,15 +42,15 @@ def cropped_pages(pages: DataFrame, boxes: DataFrame) -> DataFrame:
 def analyze(spark: SparkSession, input_dir: str, output_dir: str | None = None, provider: type[inference.Provider] = inference.Offline) -> dict[str, DataFrame]:
     """Layout of every page image, structure of every table region, and summaries; written where output_dir is given."""
     pages = files.page_images(spark, input_dir)
-    asked = pages.where("error is null").select("path", "document", "page_number", "height", "width", F.concat(prompts.regions(F.col("page_number"), F.col("width"), F.col("height")), F.lit(" "), F.sha2("data", 256)).alias("request"))
-    layout = models.ask(asked, "layout", F.col("request"), provider)
+    asked = pages.where("error is null").select("path", "document", "page_number", "height", "width", prompts.regions(F.col("page_number"), F.col("width"), F.col("height")).alias("request"), sinks.png("height", "width", "data").alias("image"))
+    layout = models.ask(asked, "layout", F.col("request"), provider, image="image").drop("request")
     regions = models.layout_regions(layout, "path", "document", "page_number")
     tables = regions.where("region_type = 'table'").select("path", "document", "page_number", "region_id", "x", "y", "width", "height", "confidence")
-    crops = cropped_pages(pages, tables)
-    boxes = models.ask(crops.withColumn("request", F.sha2("data", 256)), "structure_boxes", F.concat(prompts.table(), F.lit(" "), F.col("request")), provider)
+    crops = cropped_pages(pages, tables).select("path", "region_id", "height", "width", sinks.png("height", "width", "data").alias("image"))
+    boxes = models.ask(crops, "structure_boxes", prompts.table(), provider, image="image")
     key = F.concat_ws("#", "path", "region_id")
     found = models.detected_boxes(boxes.withColumn("table_id", key), F.col("width"), F.col("height"), "table_id")
-    summary = M.summary(M.parsed(found)) if found.columns else found
+    summary = M.summary(M.parsed(found))
     failed = boxes.select(key.alias("table_id"), F.when(F.col("source") == "fallback", "no answer").alias("error"))
     joined = tables.withColumn("table_id", key).join(failed, "table_id").join(summary, "table_id", "left").withColumns({
         "rows": F.split_part("dimensions", F.lit("x"), F.lit(1)).try_cast("int"), "cols": F.split_part("dimensions", F.lit("x"), F.lit(2)).try_cast("int"),
@@ -73,52 +75,76 @@ def pixel_rows(pages: DataFrame) -> DataFrame:
 
 
 def measured(pages: DataFrame) -> DataFrame:
-    """Pages' quality, ink columns and aspect, measured image by image in Arrow batches (the same measures as
-    operators/pixels.py, without a row per pixel)."""
-    import numpy as np
+    """Everything that the conditions need of a page, measured image by image: quality, ink columns, parts, lines, and
+    from these the quarter turn, the skew, handwriting and layout. A page is worked on in strips, so memory does not grow
+    with copies of its neighbourhoods. Quality agrees with operators/pixels.py, which has a row per pixel."""
     import pandas as pd
 
+    from ..operators import parts
+
     def measure(batches):
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                g = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width).astype(float)
-                mean = g.mean()
-                bright = mean / 120 if mean < 120 else max(0.0, 1 - (mean - 200) / 55) if mean > 200 else 1.0
-                pad = np.pad(g, 1, mode="reflect") if min(g.shape) > 1 else np.pad(g, 1, mode="edge")
-                lap = pad[:-2, 1:-1] + pad[2:, 1:-1] + pad[1:-1, :-2] + pad[1:-1, 2:] - 4 * g
-                noise = np.abs(g - np.median(kernels._windows(g, 5), axis=(2, 3))).mean()
-                ink = (g < 128).sum(axis=0)
-                k = max(5, min(20, len(ink) // 50))
-                smooth = np.convolve(ink, np.ones(k) / k)[(k - 1) // 2 :][: len(ink)]
-                runs = np.split(smooth, np.flatnonzero(smooth < 0.3 * smooth.mean()))
-                wide = sum((len(x) if i == 0 else len(x) - 1) > len(ink) // 10 for i, x in enumerate(runs))
-                rows.append((r.path, min(g.std() / 80, 1.0), bright, min(lap.var() / 1000, 1.0), min(noise / 20, 1.0), max(1, int(wide))))
-            yield pd.DataFrame(rows, columns=["path", "contrast", "brightness", "sharpness", "noise", "columns"])
-
-    return pages.where("error is null").select("path", "height", "width", "data").mapInPandas(measure, "path string, contrast double, brightness double, sharpness double, noise double, columns int")
-
-
-def preprocess(spark: SparkSession, input_dir: str, output_dir: str | None = None, level: str | None = None) -> dict[str, DataFrame]:
-    """Measure every page, assess its condition, and apply the actions where that is worth it; with level (intermediate or
-    advanced) its fixed actions instead. Pages that need nothing, or can't be read, come back as they are."""
-    if level is not None and level not in PRESETS:
-        raise ValueError(f"level: one of {sorted(PRESETS)}")
-    pages = files.page_images(spark, input_dir)
-    q = measured(pages)
-    content = C.of_content(F.lit(False), F.lit(0.0), F.col("columns"), F.lit("simple"))
-    typed = F.transform(F.concat(C.of_quality(*(F.col(c) for c in ("contrast", "brightness", "sharpness", "noise"))), content), lambda c, i: F.struct((i + 1).alias("pos"), c["condition"].alias("condition"), c["severity"].alias("severity"), c["confidence"].alias("confidence"), c["evidence"].alias("evidence"), c["actions"].alias("actions"), c["severity"].isin("severe", "moderate").alias("is_primary")))
-    assessed = C.assessed(q.withColumn("found", typed))
+            rows = [(r.path, *parts.page_measures(r.data, r.height, r.width)) for r in b.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["path", *parts.MEASURES])
+
+    small = pages.where("error is null").select("path", "height", "width", "data")
+    raw = small.mapInPandas(measure, "path string, " + ", ".join(f"{k} {v}" for k, v in parts.MEASURES.items()))
+    angle, sure = C.rotation_decision(F.col("text_angle"), F.col("edge_angle"), F.col("aspect"))
+    layout = C.layout_complexity(F.col("contours"), F.col("area_mean"), F.col("area_std"))
+    return raw.withColumns({"turn": angle, "turn_confidence": sure, "layout": layout, "handwritten": F.col("handwriting") > 0.3})
+
+
+LEVELS = ("basic", *PRESETS, "custom")
+
+
+def preprocess(spark: SparkSession, input_dir: str, output_dir: str | None = None, level: str | None = None, custom: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Measure every page, assess its condition, and apply the actions where that is worth it.
+
+    level does something else to every page: basic (contrast, sharpness, gamma), the fixed actions of intermediate and
+    advanced, or custom, the given actions in the engine's order. Pages that need nothing, or can't be read, come back as
+    they are. improvement is estimated for pages that were worked on; documents counts pages preprocessed and skipped.
+    """
+    if level is not None and level not in LEVELS:
+        raise ValueError(f"level: one of {LEVELS}")
+    if level == "custom" and not custom:
+        raise ValueError("custom: the actions of the level")
+    pages = kept(files.page_images(spark, input_dir), "pages")
+    m = kept(measured(pages), "measures")
+    content = C.of_content(F.col("handwritten"), F.col("handwriting"), F.col("columns"), F.col("layout"))
+    turn = F.array_compact(F.array(C.of_rotation(F.col("turn"), F.col("turn_confidence")), C.of_skew(F.col("skew"), F.col("skew_confidence"))))
+    every = F.concat(turn, C.of_quality(*(F.col(c) for c in ("contrast", "brightness", "sharpness", "noise"))), content)
+    typed = F.transform(every, lambda c, i: F.struct((i + 1).alias("pos"), c["condition"].alias("condition"), c["severity"].alias("severity"), c["confidence"].alias("confidence"), c["evidence"].alias("evidence"), c["actions"].alias("actions"), c["severity"].isin("severe", "moderate").alias("is_primary")))
+    assessed = C.assessed(m.withColumn("found", typed))
     gate = C.first_is_action(F.col("recommendations"))
-    actions = F.array(*map(F.lit, PRESETS[level])) if level else F.when(gate, F.col("recommendations")).otherwise(F.array().cast("array<string>"))
+    fixed = {"basic": ("basic",), "custom": custom, **PRESETS}.get(level)
+    actions = F.array(*map(F.lit, fixed)) if level else F.when(gate, F.col("recommendations")).otherwise(F.array().cast("array<string>"))
     images = pages.where("error is null").join(assessed.select("path", C.grouped_order(actions).alias("actions")), "path").select(F.col("path").alias("image_id"), "height", "width", "data", "actions")
-    done = kernels.apply_actions(images)
+    done = kept(kernels.apply_actions(images), "images")
     named = done.join(pages.select(F.col("path").alias("image_id"), "document", "page_number"), "image_id")
     issues = assessed.select(F.explode("primary_issues").alias("c")).groupBy("c.condition").agg(F.count(F.lit(1)).alias("n"))
+    report = page_report(pages, m, done)
+    documents = report.groupBy("document").agg(F.count(F.lit(1)).alias("total_pages"), F.count_if(F.size("applied") > 0).alias("pages_preprocessed"), F.count_if(F.size("applied") == 0).alias("pages_skipped"), F.avg("improvement").alias("improvement"))
     if output_dir:
         sinks.images(sinks.png_rows(named), f"{output_dir}/images")
         sinks.results_json(assessed.select("path", "quality", "priority", "success_rate", "recommendations", "notes"), f"{output_dir}/assessments")
-    return {"assessments": assessed, "images": named, "issues": issues}
+        sinks.results_json(report, f"{output_dir}/pages")
+    return {"assessments": assessed, "images": named, "issues": issues, "pages": report, "documents": documents}
+
+
+def page_report(pages: DataFrame, measures: DataFrame, done: DataFrame) -> DataFrame:
+    """One row per page: size, aspect, what was measured (as JSON), what was applied, the estimated improvement (0.5 where
+    it can't be told, null for pages not worked on), error, and when the report was made."""
+    facts = measures.select("path", F.to_json(F.struct([c for c in measures.columns if c not in ("path", "laplacian", "deviation")])).alias("results"), "laplacian", "deviation")
+    again = measured(done.where(F.size("applied") > 0).select(F.col("image_id").alias("path"), "height", "width", "data", F.lit(None).cast("string").alias("error")))
+    gain = lambda a, b: (F.col(b) - F.col(a)) / F.greatest(F.col(a), F.lit(1.0))
+    after = again.select("path", F.col("deviation").alias("deviation_"), F.col("laplacian").alias("laplacian_"))
+    j = pages.select("path", "document", "page_number", "width", "height", "error").join(facts, "path", "left").join(done.select(F.col("image_id").alias("path"), "applied"), "path", "left").join(after, "path", "left")
+    value = F.least(F.greatest(0.6 * gain("deviation", "deviation_") + 0.4 * gain("laplacian", "laplacian_") + 0.5, F.lit(0.0)), F.lit(1.0))
+    applied = F.coalesce("applied", F.array().cast("array<string>"))
+    return j.select(
+        "path", "document", "page_number", "width", "height", G.aspect(F.col("width"), F.col("height")).alias("aspect"), "results", applied.alias("applied"),
+        F.when(F.size(applied) > 0, F.coalesce(value, F.lit(0.5))).alias("improvement"), "error", F.current_timestamp().alias("made_at"),
+    )
 
 
 def quality_gain(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -145,6 +171,44 @@ def model_triplets(rows: DataFrame, provider: type[inference.Provider]) -> DataF
     return good.unionByName(N.rule_triplets_of_maps(rest).select("table_id", "subject", "predicate", "object", F.lit("rules").alias("method")))
 
 
+def text_triplets(texts: DataFrame, provider: type[inference.Provider] = inference.Offline) -> DataFrame:
+    """Triplets of plain texts (table_id, text): each is a table of one row with the key `content`."""
+    rows = texts.select("table_id", F.lit(1).alias("pos"), F.lit(None).cast("string").alias("row_header"), F.create_map(F.lit("content"), F.col("text")).alias("data"))
+    return model_triplets(rows, provider)
+
+
+def document_classes(docs: DataFrame, provider: type[inference.Provider] = inference.Offline) -> DataFrame:
+    """doc_id, doc_class, source: the provider's label, stripped, of each text's first characters (the classifier's reach);
+    the rules' where it gives none."""
+    asked = docs.select("doc_id", prompts.classify(DOCUMENT_CLASSES, F.coalesce("text", F.lit(""))).alias("request"), inference.rule_class(F.col("text")).alias("by_rule"))
+    answered = models.ask(asked, "document_class", F.col("request"), provider)
+    return answered.select("doc_id", F.coalesce(stripped(F.col("answer.doc_class")), F.col("by_rule")).alias("doc_class"), "source")
+
+
+def table_contents(crops: DataFrame, provider: type[inference.Provider] = inference.Offline) -> DataFrame:
+    """What table regions say: table_id, rows, cols, structure_confidence, headers, cells, data_rows, main_topic, method.
+
+    crops: table_id, height, width, data. The provider reads each picture; of its tables the first counts. A region
+    without an answer gets the fall-back table. Cells are row by row, the header row first.
+    """
+    asked = crops.select("table_id", sinks.png("height", "width", "data").alias("image"))
+    answered = models.ask(asked, "table_content", prompts.content(), provider, image="image")
+    good = answered.where("source = 'model' and size(answer.tables) > 0").select("table_id", F.col("answer.tables")[0].alias("t"), "answer.table_summary.main_topic", F.coalesce("answer.extraction_metadata.confidence", F.lit(0.8)).alias("sure"))
+    lines = good.select("table_id", F.posexplode("t.data_relationships").alias("i", "r"))
+    rows = lines.select("table_id", (F.col("i") + 1).alias("row"), "r.row_header", "r.values", "r.single_value")
+    cells = N.semantic_cells(rows).select("table_id", "row", "col", "content", "cell_type", "confidence")
+    cells = cells.unionByName(N.column_header_cells(good.select("table_id", F.col("t.headers").alias("headers"))))
+    cell = F.struct("row", "col", "content", F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), "cell_type", "confidence")
+    lists = cells.groupBy("table_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # one picture's table
+    data = N.data_rows(rows).groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", F.map_entries("data").alias("d")))), lambda s: F.map_from_entries(s["d"])).alias("data_rows"))
+    made = good.join(lists, "table_id", "left").join(data, "table_id", "left").select(
+        "table_id", F.size(F.coalesce("t.data_relationships", F.array())).alias("rows"), F.coalesce("t.structure.columns", F.lit(2)).alias("cols"), F.col("sure").alias("structure_confidence"), F.col("t.headers.column_headers").alias("headers"),
+        "cells", "data_rows", "main_topic", F.lit("structured_semantic").alias("method"),
+    )
+    failed = N.fallback_tables(answered.select("table_id").join(good.select("table_id"), "table_id", "left_anti"))
+    return made.unionByName(failed.select("table_id", "rows", "cols", "structure_confidence", "headers", "cells", "data_rows", F.lit(None).cast("string").alias("main_topic"), F.lit("simple_fallback").alias("method")))
+
+
 def classify(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """Recognised lines (document, page_number, line_number, text) -> document, text, doc_class."""
     return inference.classified(files.document_texts(files.recognized(lines)))

@@ -56,6 +56,7 @@ NOTES = {
 }
 TURN_NOTE, TURN_NAMES = "Rotation correction needed: ", {"rotated_90_cw": "90° CW", "rotated_90_ccw": "90° CCW", "rotated_180": "180°"}
 QUALITY_NOTE, GOOD_NOTE = "Multiple quality issues detected - may require careful preprocessing", "Document appears to be in good condition"
+FALLBACK_TABLE = (("Parameter", "Value"), ("Extraction Failed", "Unable to parse table"))
 FAILED_QUALITY = "Unable to assess - analysis failed"
 QUALITY_EVIDENCE = {
     "low_contrast": "Low contrast detected (score: %s)",

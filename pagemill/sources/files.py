@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import input_kind, stem, suffix
 from ..schemas import SAVED_RESPONSE
@@ -28,19 +27,31 @@ def _number(data, at: int, size: int, big: bool):
     return F.conv(F.hex(part), 16, 10).cast("long")
 
 
+def _jpeg_size(data, at: int):
+    """Two bytes of a JPEG file's frame header (height at 3, width at 5 after its marker); markers stand in the first 64 KB."""
+    text = F.hex(F.substring(data, 1, 1 << 16))
+    frame = F.regexp_extract(text, r"^FFD8(?:FF(?!C[0-35-7])[0-9A-F]{2}(?:[0-9A-F]{2})*?)*?FFC[0-35-7]([0-9A-F]{14})", 1)
+    return F.when(frame != "", F.conv(F.substring(frame, 2 * at + 1, 4), 16, 10).cast("long"))
+
+
 def image_facts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Image files with width and height (PNG and BMP, from their headers), format, size, md5 and errors.
+    """Image files with width, height and mode (from the headers of PNG, BMP and JPEG), format, size, md5 and errors.
 
-    Headers are read with column functions, so no image library is needed; other formats have null sizes and are checked
-    for suffix and length only.
+    Headers are read with column functions, so no image library is needed; a file whose header can't be read has null
+    sizes and, if its suffix is an image's, the error `unreadable`, but for TIFF, which is checked for suffix and length.
     """
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    png, bmp = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A", F.hex(F.substring("content", 1, 2)) == "424D"
-    width = F.when(png, _number(F.col("content"), 17, 4, True)).when(bmp, _number(F.col("content"), 19, 4, False))
-    height = F.when(png, _number(F.col("content"), 21, 4, True)).when(bmp, _number(F.col("content"), 23, 4, False))
-    out = f.select("path", suffix(F.col("path")).alias("format"), "length", width.alias("width"), height.alias("height"), F.md5("content").alias("md5"))
+    c, head = F.col("content"), F.hex(F.substring("content", 1, 8))
+    png, bmp, jpeg = head == "89504E470D0A1A0A", head.startswith("424D"), head.startswith("FFD8FF")
+    width = F.when(png, _number(c, 17, 4, True)).when(bmp, _number(c, 19, 4, False)).when(jpeg, _jpeg_size(c, 5))
+    height = F.when(png, _number(c, 21, 4, True)).when(bmp, _number(c, 23, 4, False)).when(jpeg, _jpeg_size(c, 3))
+    kind = F.hex(F.substring(c, 26, 1))
+    mode = F.when(png, F.when(kind == "00", "L").when(kind == "02", "RGB").when(kind == "03", "P").when(kind == "04", "LA").when(kind == "06", "RGBA"))
+    out = f.select("path", suffix(F.col("path")).alias("format"), "length", width.alias("width"), height.alias("height"), mode.alias("mode"), F.md5("content").alias("md5"))
+    known = F.col("format").isin(*IMAGE_FORMATS)
     errors = F.array_compact(F.array(
-        F.when(F.col("length") > MOST_BYTES, "too large"), F.when(~F.col("format").isin(*IMAGE_FORMATS), "format"), F.when(F.greatest("width", "height") > MOST_PIXELS, "too many pixels"),
+        F.when(F.col("length") > MOST_BYTES, "too large"), F.when(~known, "format"), F.when(F.greatest("width", "height") > MOST_PIXELS, "too many pixels"),
+        F.when(known & F.col("width").isNull() & ~F.col("format").isin(".tiff", ".tif"), "unreadable"),
     ))
     return out.withColumn("errors", errors)
 
@@ -53,62 +64,60 @@ def saved_responses(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("path", "page_number", (F.col("i") + 1).alias("table_index"), "table", "table_summary", "extraction_metadata")
 
 
-class PdfPages(DataSource):
-    """spark.read.format("pdf_pages"): one row per page of PDF files, as gray pixels, sharpened unless the
-    option sharpen is false. Needs a PDF library on executors;
-    without one, or on an unreadable file, a file has no pages."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pdf_pages"
-
-    def schema(self) -> str:
-        return "path string, page_number int, height int, width int, data binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        return PdfReader(self.options)
+def rendered(content: bytes, dpi: int):
+    """The pages of a PDF file as gray arrays, one by one. Needs a PDF library on executors, absent here; any other
+    function of this form can take its place."""
+    import fitz
+    import numpy as np
 
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        for page in doc:
+            px = page.get_pixmap(dpi=dpi, colorspace="gray", alpha=False)  # without alpha: on white
+            yield np.frombuffer(px.samples, np.uint8).reshape(px.height, px.width)
 
-class PdfFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
 
+def pdf_pages(spark: SparkSession, paths: list[str], dpi: int = 300, sharpen: bool = True, render=rendered) -> DataFrame:
+    """One row per page of PDF files, every page: path, document, page_number, height, width, data (gray bytes, sharpened
+    unless sharpen is false) and error. A file that can't be opened, or breaks off, gives a row with an error and no
+    pixels after the pages before. Files are read by executors from any store that Spark reads; pages are handed on one
+    by one."""
+    f = spark.read.format("binaryFile").load(paths).select("path", "content")
 
-class PdfReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths, self.dpi = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p], int(options.get("dpi") or 300)
-        self.sharpen = (options.get("sharpen") or "true").lower() == "true"
+    def read(batches):
+        import pandas as pd
 
-    def partitions(self):
-        return [PdfFile(p) for p in self.paths]
+        from ..operators.kernels import crisp
 
-    def read(self, partition):
-        import numpy as np
+        def row(path, number, img, error):
+            size = (None, None, None) if img is None else (*img.shape, (crisp(img) if sharpen else img).tobytes())
+            return pd.DataFrame([(path, number, *size, error)], columns=["path", "page_number", "height", "width", "data", "error"]).astype({"height": "Int32", "width": "Int32", "page_number": "Int32"})
 
-        from ..operators.kernels import crisp
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                number = 0
+                try:
+                    for img in render(bytes(content), dpi):
+                        number += 1
+                        yield row(path, number, img, None)
+                except Exception as e:  # an unreadable file is a row with an error
+                    yield row(path, None, None, str(e)[:200] or "unreadable")
 
-        try:
-            import fitz  # absent here; any other reader can take its place
-        except ImportError:
-            return
-        try:
-            with fitz.open(partition.path) as doc:
-                for i, page in enumerate(doc, 1):
-                    if i > MOST_PAGES:
-                        return
-                    px = page.get_pixmap(dpi=self.dpi, colorspace="gray", alpha=False)  # without alpha: on white
-                    gray = np.frombuffer(px.samples, np.uint8).reshape(px.height, px.width)
-                    yield partition.path, i, px.height, px.width, (crisp(gray) if self.sharpen else gray).tobytes()
-        except Exception:  # an unreadable file has no pages, by contract
-            return
+    out = f.mapInPandas(read, "path string, page_number int, height int, width int, data binary, error string")
+    return out.select("path", stem(F.col("path")).alias("document"), "page_number", "height", "width", "data", "error")
 
 
-def pdf_pages(spark: SparkSession, paths: list[str], dpi: int = 300) -> DataFrame:
-    spark.dataSource.register(PdfPages)
-    return spark.read.format("pdf_pages").option("paths", ",".join(paths)).option("dpi", str(dpi)).load()
+def pages_of(spark: SparkSession, paths: list[str], render=rendered) -> DataFrame:
+    """Pages of PDF files and of images alike, in the columns of page_images(): the kind follows from the suffix."""
+    pdf = [p for p in paths if p.lower().endswith(".pdf")]
+    other = [p for p in paths if p not in pdf]
+    parts = ([pdf_pages(spark, pdf, render=render)] if pdf else []) + ([page_images(spark, other, "*")] if other else [])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def page_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
+def page_images(spark: SparkSession, path: str | list[str], glob: str = "*.png") -> DataFrame:
     """Image files as pages: document (the file's stem), page_number (its place by name within its folder), height, width,
     data (gray bytes) and error. A file that can't be read has null sizes and an error."""
     import pandas as pd
@@ -137,8 +146,9 @@ def page_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFram
 
 
 def pdf_errors(pages: DataFrame) -> DataFrame:
-    """Per PDF file the number of its pages and what is wrong with it: 1 to 50 pages are allowed."""
-    n = pages.groupBy("path").agg(F.max("page_number").alias("pages"))
+    """Per PDF file the number of its pages and what is wrong with it: 1 to 50 pages pass this check. It is a report; no
+    page is left out for it."""
+    n = pages.groupBy("path").agg(F.coalesce(F.max("page_number"), F.lit(0)).alias("pages"))
     return n.withColumn("errors", F.array_compact(F.array(F.when(F.col("pages") < 1, "no page"), F.when(F.col("pages") > MOST_PAGES, "too many pages"))))
 
 

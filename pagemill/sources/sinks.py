@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions.images import encode_png
 from ..functions.text import page_name
@@ -55,24 +54,30 @@ def images(pages: DataFrame, path: str) -> None:
     pages.write.mode("overwrite").parquet(path)
 
 
+@F.pandas_udf(BinaryType())
+def png(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.Series:
+    """Gray bytes as a PNG file; null for null."""
+    return pd.Series([None if d is None else encode_png(np.frombuffer(d, np.uint8).reshape(int(h), int(w))) for h, w, d in zip(height, width, data)], dtype=object)
+
+
 def png_rows(images: DataFrame, kind: str = "preprocessed") -> DataFrame:
     """Images (document, page_number, height, width, data) as files: file_name and content, a PNG; base64 for requests."""
-    @F.pandas_udf("binary")
-    def png(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else encode_png(np.frombuffer(d, np.uint8).reshape(int(h), int(w))) for h, w, d in zip(height, width, data)], dtype=object)
-
     out = images.select("document", "page_number", page_name(F.col("document"), F.col("page_number"), kind).alias("file_name"), png("height", "width", "data").alias("content"))
     return out.withColumn("base64", F.base64("content"))
 
 
 def files(rows: DataFrame, path: str) -> None:
-    """Write rows (file_name, content) as files of their own in a folder of a file system that executors share."""
+    """Write rows (file_name, content) as files of their own in a folder: a path, or an address of a store that Arrow
+    writes (file, hdfs, s3, gs), which executors share."""
 
     def put(batch):
-        os.makedirs(path, exist_ok=True)
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(folder, recursive=True)
         for r in batch:
             if r.content is not None:
-                with open(os.path.join(path, os.path.basename(r.file_name)), "wb") as f:
-                    f.write(r.content)
+                with store.open_output_stream(f"{folder}/{r.file_name.rsplit('/', 1)[-1]}") as f:
+                    f.write(bytes(r.content))
 
     rows.select("file_name", "content").foreachPartition(put)

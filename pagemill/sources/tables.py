@@ -56,9 +56,10 @@ def detections(spark, sf_dir) -> DataFrame:
 
 
 def kv_rows(spark, sf_dir) -> DataFrame:
-    """(table_id, pos, row_header, p_type, p_size): rows of specification tables."""
+    """(table_id, pos, row_header, p_type, p_size): rows of specification tables; every third part has size zero."""
     part = table(spark, sf_dir, "part")
-    return part.select(F.col("p_brand").alias("table_id"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("pos"), F.col("p_name").alias("row_header"), "p_type", "p_size")
+    size = F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_size"))
+    return part.select(F.col("p_brand").alias("table_id"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("pos"), F.col("p_name").alias("row_header"), "p_type", size.alias("p_size"))
 
 
 def semantic_rows(spark, sf_dir) -> DataFrame:
@@ -98,6 +99,16 @@ def line_votes(spark, sf_dir) -> DataFrame:
     return e.select(F.col("vec_id").alias("page_id"), "pos", (v * 100).alias("rho"), F.pmod(F.floor((v + 1) * 900), F.lit(180)).cast("double").alias("deg"))
 
 
+def upright_votes(spark, sf_dir) -> DataFrame:
+    """line_votes() of pages that are nearly straight: degrees from 88 to 104."""
+    return line_votes(spark, sf_dir).withColumn("deg", F.lit(88.0) + F.col("deg") % 17)
+
+
+def sparse_cells(spark, sf_dir) -> DataFrame:
+    """cells() in which every other row of a table has text in column 0 only."""
+    return cells(spark, sf_dir).withColumn("text", F.when((F.col("col") == 0) | (F.col("row") % 2 == 0), F.col("text")))
+
+
 def cells(spark, sf_dir) -> DataFrame:
     """(table_id, row, col, text, rowspan, colspan): a header row and the table's lines, some without text."""
     line = table(spark, sf_dir, "lineitem")

@@ -39,7 +39,9 @@ def test_saved_responses(spark, tmp_path):
 def test_pdf_source_without_a_library(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-")
     df = files.pdf_pages(spark, [str(tmp_path / "a.pdf")])
-    assert df.columns == ["path", "page_number", "height", "width", "data"] and df.count() == 0
+    assert df.columns == ["path", "document", "page_number", "height", "width", "data", "error"]
+    row = df.collect()
+    assert len(row) == 1 and row[0].error and row[0].data is None and row[0].document == "a"
 
 
 def test_sinks(spark, tmp_path):
