@@ -147,18 +147,33 @@ def filled(cells_: DataFrame) -> DataFrame:
     return last.select("table_id", F.col("r").alias("row"), F.col("c").alias("col"), F.col("v.text").alias("text"))
 
 
+def _filled_tables(cells_: DataFrame) -> DataFrame:
+    """One row per table, by one shuffle: width, and its filled positions in order as structs r, c, text. A table is one
+    image's, so its cells are few by nature."""
+    t = cells_.groupBy("table_id").agg(F.collect_list(F.struct("row", "col", "text", "rowspan", "colspan")).alias("cells"), F.max(F.col("col") + F.col("colspan")).alias("width"))
+    span = lambda x, at, n: F.sequence(x[at], x[at] + x[n] - 1)
+    place = lambda x, r, c: F.struct(r.alias("r"), c.alias("c"), x["row"].alias("row"), x["col"].alias("col"), x["text"].alias("text"))
+    every = F.flatten(F.transform("cells", lambda x: F.flatten(F.transform(span(x, "row", "rowspan"), lambda r: F.transform(span(x, "col", "colspan"), lambda c: place(x, r, c))))))
+    t = t.select("table_id", "width", F.array_sort(every).alias("g"))
+    after = lambda i: F.get(F.col("g"), i + 1)
+    last = F.filter("g", lambda x, i: F.coalesce((after(i)["r"] != x["r"]) | (after(i)["c"] != x["c"]), F.lit(True)))
+    return t.select("table_id", "width", F.transform(last, lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"), x["text"].alias("text"))).alias("g"))
+
+
 def structured(cells_: DataFrame) -> DataFrame:
     """(table_id, row, values): the first row with any text gives the keys; every later row with text is a map.
 
     A position without text is the empty string; of equal keys the last column's value stays. The grid's extent is that
-    of its spans.
+    of its spans. Tables meet once: what follows the shuffle by table needs no other.
     """
-    grid_ = filled(cells_)
-    extent = cells_.groupBy("table_id").agg(F.max(F.col("col") + F.col("colspan")).alias("width"))
-    by_row = grid_.groupBy("table_id", "row").agg(F.bool_or(F.col("text").isNotNull()).alias("any"), F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("texts")).where("any")
-    rows = by_row.join(extent, "table_id").select("table_id", "row", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("texts", i), F.lit(""))).alias("texts"))
-    head = rows.groupBy("table_id").agg(F.min_by("texts", "row").alias("keys"), F.min("row").alias("head"))
-    body = rows.join(head, "table_id").where("row > head")
+    t = _filled_tables(cells_)
+    t = t.withColumn("head", F.array_min(F.transform(F.filter("g", lambda x: x["text"].isNotNull()), lambda x: x["r"])))
+    own = F.map_from_entries(F.transform(F.filter("g", lambda x: x["r"] == F.col("head")), lambda x: F.struct(x["c"], x["text"])))
+    texts = lambda held: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at(held, i), F.lit("")))
+    t = t.where("head is not null").withColumn("held", own).withColumn("keys", texts(F.col("held")))
+    x = t.select("table_id", "width", "keys", F.explode(F.filter("g", lambda x: x["r"] > F.col("head"))).alias("x"))
+    body = x.groupBy("table_id", F.col("x.r").alias("row")).agg(F.count("x.text").alias("n"), F.map_from_entries(F.collect_list(F.struct("x.c", "x.text"))).alias("held"), F.first("width").alias("width"), F.first("keys").alias("keys"))
+    body = body.where("n > 0").withColumn("texts", texts(F.col("held")))
     pairs = F.arrays_zip(F.col("keys"), F.col("texts"))
     # the last of equal keys: those not seen again to the right
     last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["keys"].alias("k"), p["texts"].alias("v"), F.slice("keys", i + 2, F.size("keys")).alias("rest"))), lambda p: ~F.array_contains(p["rest"], p["k"]))

@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from ..schemas import FALLBACK_TABLE
 
 
-def last_mentions(entities: DataFrame) -> DataFrame:
-    """Of a document's mentions of one name the last one's type."""
-    return entities.groupBy("doc_id", "name").agg(F.max_by("entity_type", "pos").alias("entity_type"))
-
-
 def ends(relations: DataFrame) -> DataFrame:
     """Both names of each relation: (doc_id, name, pos, evidence)."""
     side = lambda c: F.struct(F.col(c).alias("name"), F.col("pos"), F.col("evidence"))
     return relations.select("doc_id", F.explode(F.array(side("subject_name"), side("object_name"))).alias("e")).select("doc_id", "e.*")
 
 
+def names(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(doc_id, name, entity_type, known, first_pos, evidence): every name of a document once, by one shuffle of mentions and
+    relations together. Of a name's mentions the last one gives the type; a name that only relations use is not known."""
+    said = entities.select("doc_id", "name", F.col("pos").alias("said_at"), "entity_type", F.lit(None).cast("struct<pos:bigint,evidence:string>").alias("used"))
+    used = ends(relations).select("doc_id", "name", F.lit(None).cast("bigint").alias("said_at"), F.lit(None).cast("string").alias("entity_type"), F.struct(F.col("pos").cast("bigint").alias("pos"), F.col("evidence").cast("string").alias("evidence")).alias("used"))
+    every = said.withColumn("said_at", F.col("said_at").cast("bigint")).unionByName(used).groupBy("doc_id", "name")
+    out = every.agg(F.max_by("entity_type", "said_at").alias("entity_type"), (F.count("said_at") > 0).alias("known"), F.min("used").alias("used"))
+    return out.select("doc_id", "name", "entity_type", "known", F.col("used.pos").alias("first_pos"), F.col("used.evidence").alias("evidence"))
+
+
 def missing(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Names in relations that no entity has, with the first relation that uses them and its evidence."""
-    first = ends(relations).groupBy("doc_id", "name").agg(F.min(F.struct("pos", "evidence")).alias("f"))
-    return first.join(last_mentions(entities), ["doc_id", "name"], "left_anti").select("doc_id", "name", F.col("f.pos").alias("first_pos"), F.col("f.evidence").alias("evidence"))
+    return names(entities, relations).where("not known").select("doc_id", "name", "first_pos", "evidence")
 
 
 def resolved(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -32,11 +36,10 @@ def resolved(entities: DataFrame, relations: DataFrame) -> DataFrame:
     The running flag is a comparison with the document's first relation that has an unknown name, not a window, so a
     document with very many relations is not one task's.
     """
-    known = last_mentions(entities)
-    unknown = missing(entities, relations)
-    names = known.select("doc_id", "name", "entity_type", F.lit(False).alias("auto"), F.lit(None).cast("string").alias("source")).unionByName(unknown.select("doc_id", "name", F.lit("other").alias("entity_type"), F.lit(True).alias("auto"), F.col("evidence").alias("source")))
-    start = unknown.groupBy("doc_id").agg(F.min("first_pos").alias("start"))
-    end = lambda p: names.select("doc_id", F.col("name").alias(f"{p}_name"), F.col("entity_type").alias(f"{p}_type"), F.col("auto").alias(f"{p}_auto"), F.col("source").alias(f"{p}_source"))
+    every = names(entities, relations)
+    start = every.where("not known").groupBy("doc_id").agg(F.min("first_pos").alias("start"))
+    kind = F.when(F.col("known"), F.col("entity_type")).otherwise("other")
+    end = lambda p: every.select("doc_id", F.col("name").alias(f"{p}_name"), kind.alias(f"{p}_type"), (~F.col("known")).alias(f"{p}_auto"), F.when(~F.col("known"), F.col("evidence")).alias(f"{p}_source"))
     out = relations.join(end("subject"), ["doc_id", "subject_name"], "left").join(end("object"), ["doc_id", "object_name"], "left").join(start, "doc_id", "left")
     return out.select("doc_id", "pos", "subject_name", "subject_type", "subject_auto", "predicate", "object_name", "object_type", "object_auto", F.coalesce("subject_source", "object_source").alias("auto_source"), F.coalesce(F.col("pos") >= F.col("start"), F.lit(False)).alias("has_auto_created"))
 
