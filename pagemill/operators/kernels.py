@@ -134,6 +134,18 @@ def turned(img: np.ndarray, degrees: float) -> np.ndarray:
     return out
 
 
+def outlined(img: np.ndarray, boxes: list[tuple[int, int, int, int, int, int]]) -> np.ndarray:
+    """The page with boxes (x, y, width, height, line width, gray) drawn on it, inwards, later ones on top."""
+    out = img.copy()
+    for x, y, w, h, line, gray in boxes:
+        part = out[y : y + h + 1, x : x + w + 1]
+        hole = part[line:-line, line:-line].copy() if min(part.shape) > 2 * line else None
+        part[:] = gray
+        if hole is not None:
+            part[line:-line, line:-line] = hole
+    return out
+
+
 #: Action -> kernel. An action without a kernel leaves the image as it is.
 KERNELS: dict[str, Kernel] = {
     "rotate_90_cw": lambda i: np.rot90(i, -1), "rotate_90_ccw": lambda i: np.rot90(i, 1), "rotate_180": lambda i: np.rot90(i, 2), "straighten_perspective": lambda i: i,

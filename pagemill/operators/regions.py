@@ -125,6 +125,25 @@ def draw_list(regions: DataFrame, width: int, height: int, colours: dict[str, st
     })
 
 
+STYLES = ("minimal", "detailed", "confidence_heatmap")
+
+
+def drawn(regions: DataFrame, width: int, height: int, colours: dict[str, str], style: str, line: int = 3, text: int = 11) -> DataFrame:
+    """draw_list() in one of the three styles: minimal is boxes alone; detailed adds a label, and the reading order in the
+    middle of the box; the heat map has lines as wide as the confidence is high, and over 0.7 a second box within
+    (inner: x, y, right, bottom)."""
+    if style not in STYLES:
+        raise ValueError(f"style: one of {STYLES}")
+    d = draw_list(regions, width, height, colours, line, text)
+    none, detailed, heat = F.lit(None), style == "detailed", style == "confidence_heatmap"
+    inner = F.struct((F.col("px") + 2).alias("x"), (F.col("py") + 2).alias("y"), (F.col("px") + F.col("pw") - 2).alias("right"), (F.col("py") + F.col("ph") - 2).alias("bottom"))
+    return d.withColumns({
+        "line_width": F.col("line_width") if heat else F.lit(line), "label": F.col("label") if detailed else none.cast("string"), "label_y": F.col("label_y") if detailed else none.cast("int"),
+        "order_x": F.col("px") + F.floor(F.col("pw") / 2).cast("int") if detailed else none.cast("int"), "order_y": F.col("py") + F.floor(F.col("ph") / 2).cast("int") if detailed else none.cast("int"),
+        "inner": F.when((F.col("confidence") > 0.7) & F.lit(heat), inner),
+    })
+
+
 def detector_label_top(top: Column, text: Column) -> Column:
     """Top edge of a detector's label: over the box, or below its upper edge where that is off the page."""
     over = top - text - 10

@@ -10,7 +10,7 @@ from ..operators import conditions as C
 from ..operators import knowledge as N
 from ..operators import models
 from ..operators import regions as R
-from ..schemas import FAILED_QUALITY, FALLBACK_TABLE
+from ..schemas import FAILED_QUALITY, FALLBACK_TABLE, TYPE_COLOURS
 from ..sources import files, sinks
 from ..sources import tables as S
 from .adapter_sql import sql
@@ -159,3 +159,15 @@ def prompt_texts(spark, sf_dir):
 def box_shape(spark, sf_dir):
     d = S.detections(spark, sf_dir)
     return d.select("table_id", "pos", G.large(F.col("w"), F.col("h"), 4).alias("is_large"), near(G.aspect(F.col("w"), F.col("h"))).alias("aspect"))
+
+
+BOXES = "(SELECT *, 20 AS px, trunc((reading_order % 20)::DOUBLE / 32 * 400)::INT AS py, 100 AS pw, 12 AS ph FROM page_regions)"
+STYLED = f"""SELECT page_id, reading_order, s AS style, CASE WHEN s = 'confidence_heatmap' THEN greatest(1, trunc(3 * confidence)::INT) ELSE 3 END AS line_width, CASE WHEN s = 'detailed' THEN region_type || '_' || (reading_order - 1) || ' | ' || printf('%.2f', confidence) END AS label,
+CASE WHEN s = 'detailed' THEN px + pw // 2 END AS order_x, CASE WHEN s = 'detailed' THEN py + ph // 2 END AS order_y, CASE WHEN s = 'confidence_heatmap' AND confidence > 0.7 THEN py + ph - 2 END AS inner_bottom FROM {BOXES}, (SELECT unnest(['minimal', 'detailed', 'confidence_heatmap']) AS s)"""
+
+
+@query(sql("page_regions", select=STYLED))
+def draw_styles(spark, sf_dir):
+    p = S.page_regions(spark, sf_dir).withColumns({"pos": F.col("reading_order") - 1, "x": F.lit(0.1), "y": (F.col("reading_order") % 20).cast("double") / 32, "w": F.lit(0.5), "h": F.lit(0.03125)})
+    parts = [R.drawn(p, 200, 400, TYPE_COLOURS, s).select("page_id", "reading_order", F.lit(s).alias("style"), "line_width", "label", "order_x", "order_y", F.col("inner.bottom").alias("inner_bottom")) for s in R.STYLES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -17,7 +17,7 @@ from ..operators import inference, kernels, models
 from ..operators import knowledge as N
 from ..operators import pixels as J
 from ..operators import regions as R
-from ..schemas import DOCUMENT_CLASSES, PRESETS
+from ..schemas import DOCUMENT_CLASSES, PRESETS, TYPE_COLOURS
 from ..sources import files, sinks
 from ..sources.shared import kept
 
@@ -64,6 +64,7 @@ def analyze(spark: SparkSession, input_dir: str, output_dir: str | None = None,
         sinks.results_json(documents, f"{output_dir}/documents")
         sinks.regions_csv(regions, f"{output_dir}/regions")
         sinks.table_summary_json(joined, out["table_summary"], f"{output_dir}/table_summary")
+        sinks.images(sinks.png_rows(annotated_pages(pages, regions), "annotated"), f"{output_dir}/annotated")
     return out
 
 
@@ -74,6 +75,31 @@ def pixel_rows(pages: DataFrame) -> DataFrame:
     return at.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), F.conv(F.hex(F.substring("data", F.col("i") + 1, F.lit(1))), 16, 10).cast("int").alias("g"))
 
 
+def annotated_pages(pages: DataFrame, regions: DataFrame, style: str = "detailed") -> DataFrame:
+    """Pages with the boxes of their regions (path, region_id, region_type, x, y, width, height, confidence, reading_order)
+    drawn on them: path, document, page_number, height, width, data. Pages without regions stay as they are. A page's
+    regions are few by nature."""
+    import numpy as np
+    import pandas as pd
+
+    own = regions.select("path", "region_type", "x", "y", F.col("width").alias("w"), F.col("height").alias("h"), "confidence", (F.col("reading_order") - 1).alias("pos"))
+    sized = own.join(pages.select("path", F.col("width").alias("pw_"), F.col("height").alias("ph_")), "path")
+    box = G.clamped_box(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("pw_"), F.col("ph_"))
+    line = F.greatest(F.lit(1), (F.lit(3) * F.col("confidence")).cast("int")) if style == "confidence_heatmap" else F.lit(3)
+    lists = sized.withColumns({**box, "line": line}).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "px", "py", "pw", "ph", "line", "region_type"))).alias("boxes"))
+    j = pages.where("error is null").select("path", "document", "page_number", "height", "width", "data").join(lists, "path", "left")
+    gray = {k: round(0.299 * int(v[1:3], 16) + 0.587 * int(v[3:5], 16) + 0.114 * int(v[5:7], 16)) for k, v in TYPE_COLOURS.items()}
+
+    def draw(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                img = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)
+                boxes = [(z["px"], z["py"], z["pw"], z["ph"], z["line"], gray.get(z["region_type"], 0)) for z in (r.boxes if r.boxes is not None else [])]
+                yield pd.DataFrame([(r.path, r.document, r.page_number, r.height, r.width, kernels.outlined(img, boxes).tobytes())], columns=["path", "document", "page_number", "height", "width", "data"])
+
+    return j.mapInPandas(draw, "path string, document string, page_number int, height int, width int, data binary")
+
+
 def measured(pages: DataFrame) -> DataFrame:
     """Everything that the conditions need of a page, measured image by image: quality, ink columns, parts, lines, and
     from these the quarter turn, the skew, handwriting and layout. A page is worked on in strips, so memory does not grow

@@ -132,14 +132,13 @@ def page_images(spark: SparkSession, path: str | list[str], glob: str = "*.png")
 
     def read(batches):
         for b in batches:
-            rows = []
-            for p, c in zip(b["path"], b["content"]):
+            for p, c in zip(b["path"], b["content"]):  # handed on one by one
                 try:
                     img = decode_png(bytes(c))
-                    rows.append((p, img.shape[0], img.shape[1], img.tobytes(), None))
+                    row = (p, img.shape[0], img.shape[1], img.tobytes(), None)
                 except Exception as e:  # an unreadable image is a row with an error
-                    rows.append((p, None, None, None, str(e)[:200]))
-            yield pd.DataFrame(rows, columns=["path", "height", "width", "data", "error"]).astype({"height": "Int32", "width": "Int32"})
+                    row = (p, None, None, None, str(e)[:200])
+                yield pd.DataFrame([row], columns=["path", "height", "width", "data", "error"]).astype({"height": "Int32", "width": "Int32"})
 
     pixels = f.select("path", "content").mapInPandas(read, "path string, height int, width int, data binary, error string")
     return pixels.join(numbered, "path").select("path", stem(F.col("path")).alias("document"), "page_number", "height", "width", "data", "error")

@@ -67,6 +67,8 @@ def test_providers_see_each_page_once(spark, tmp_path):
 
     out = W.analyze(spark, f"{tmp_path}/in", f"{tmp_path}/out", counting(str(tmp_path), answers))
     assert out["tables"].count() == 3 and out["regions"].count() == 3 and out["documents"].count() == 3
+    drawn = decode_png(bytes(spark.read.parquet(f"{tmp_path}/out/annotated").where("document = 'p0'").first().content))
+    assert drawn.shape == (20, 30) and (drawn[2, 3:19] > 0).all() and (drawn[2:13, 3] > 0).all() and not drawn[6:9, 8:15].any() and not drawn[:2].any()
     log = logged(tmp_path)
     assert len(log) == 6 and len({json.dumps(x) for x in log}) == 6  # three pages and three crops, each once
     assert [20, 30, 40 * 600] in [x[1] for x in log] and [10, 15, 80 * 150] in [x[1] for x in log]
