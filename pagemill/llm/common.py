@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import place, shared_dir
+
 #: Rows in one Arrow batch; texts can be long, so a batch of Spark's default 10,000 rows could outgrow a worker.
 ARROW_ROWS = 1000
 
@@ -24,25 +25,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
-
-    Where neither is set a local master gets a temporary folder; a cluster gets an error, as its machines share none.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="pagemill-")
-    return _OWN_DIRS[app]
-
-
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """key is value within the block only."""
@@ -60,7 +42,7 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     by: a column of few values by which the table is partitioned, so that readers of one value skip the others.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
