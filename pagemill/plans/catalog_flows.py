@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference as L
 from ..operators import regions as R
-from ..schemas import FALLBACK_TABLE
+from ..schemas import FAILED_QUALITY, FALLBACK_TABLE
 from ..sources import files, sinks
 from ..sources import tables as S
 from ..sources.shared import place
@@ -112,3 +112,11 @@ def page_measures(spark, sf_dir):
     p = K.images(spark, sf_dir).select(F.col("image_id").cast("string").alias("path"), "height", "width", "data", F.lit(None).cast("string").alias("error"))
     m = W.measured(p)
     return m.select(F.col("path").cast("long").alias("image_id"), *(near(c).alias(c) for c in ("contrast", "brightness", "sharpness", "noise")), "aspect")
+
+
+@query(sql("pixels", select=f"SELECT image_id, '{FAILED_QUALITY}' AS quality, 3 AS priority, 0.5::DOUBLE AS success_rate, 'enhance_contrast,denoise,sharpen' AS recommendations, TRUE AS process, 'fallback' AS source FROM (SELECT DISTINCT image_id FROM pixels)"))
+def model_conditions(spark, sf_dir):
+    """Conditions asked of a provider that has none to give: the stand-in assessment."""
+    p = K.images(spark, sf_dir).select(F.col("image_id").cast("string").alias("path"), "height", "width", "data", F.lit(None).cast("string").alias("error"))
+    m = W.model_conditions(p)
+    return m.select(F.col("path").cast("long").alias("image_id"), "quality", "priority", "success_rate", F.array_join("recommendations", ",").alias("recommendations"), "process", "source")

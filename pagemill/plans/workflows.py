@@ -17,7 +17,7 @@ from ..operators import inference, kernels, models
 from ..operators import knowledge as N
 from ..operators import pixels as J
 from ..operators import regions as R
-from ..schemas import DOCUMENT_CLASSES, PRESETS, TYPE_COLOURS
+from ..schemas import DOCUMENT_CLASSES, FAILED_QUALITY, PRESETS, TYPE_COLOURS
 from ..sources import files, sinks
 from ..sources.shared import kept
 
@@ -120,12 +120,31 @@ def measured(pages: DataFrame) -> DataFrame:
     return raw.withColumns({"turn": angle, "turn_confidence": sure, "layout": layout, "handwritten": F.col("handwriting") > 0.3})
 
 
+def model_conditions(pages: DataFrame, provider: type[inference.Provider] = inference.Offline) -> DataFrame:
+    """Conditions that a provider finds on page images: path, quality, found, recommendations, priority, success_rate,
+    process (whether the page is worth working on), source. Turns are repaired and conflicts resolved; pages without an
+    answer get the stand-in assessment."""
+    asked = pages.where("error is null").select("path", prompts.condition(F.col("width"), F.col("height"), F.lit("gray")).alias("request"), sinks.png("height", "width", "data").alias("image"))
+    answered = models.ask(asked, "condition", F.col("request"), provider, image="image")
+    typed = lambda field, first: F.transform(F.coalesce(F.col(f"answer.{field}"), F.array()), lambda c: F.struct(c["condition"].alias("condition"), c["severity"].alias("severity"), c["confidence"].alias("confidence"), c["evidence"].alias("evidence"), F.coalesce(c["recommended_actions"], F.array()).alias("actions"), F.lit(first).alias("is_primary")))
+    every = F.transform(F.concat(typed("primary_issues", True), typed("secondary_issues", False)), lambda c, i: F.struct((i + 1).alias("pos"), *[c[k].alias(k) for k in ("condition", "severity", "confidence", "evidence", "actions", "is_primary")]))
+    good = answered.where("source = 'model'").select("path", F.coalesce("answer.overall_quality", F.lit(FAILED_QUALITY)).alias("quality"), every.alias("found"), "source")
+    good = C.enhanced(C.repaired(good))
+    failed = C.fallback(answered.where("source <> 'model'").select("path", "source")).withColumn("found", F.lit(None).cast(good.schema["found"].dataType))
+    columns = ("path", "quality", "found", "recommendations", "priority", "success_rate", "source")
+    both = good.select(*columns).unionByName(failed.select(*columns))
+    return both.withColumn("process", C.worth_processing(F.col("recommendations"), F.col("priority"), F.col("success_rate")))
+
+
 LEVELS = ("basic", *PRESETS, "custom")
 
 
-def preprocess(spark: SparkSession, input_dir: str, output_dir: str | None = None, level: str | None = None, custom: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def preprocess(spark: SparkSession, input_dir: str, output_dir: str | None = None, level: str | None = None, custom: tuple[str, ...] = (), provider: type[inference.Provider] | None = None) -> dict[str, DataFrame]:
     """Measure every page, assess its condition, and apply the actions where that is worth it.
 
+    With a provider the conditions are those that it finds on the page, and a page is worked on if there is a
+    recommendation, its priority is high and it is not good as it is (conditions.worth_processing).
+
     level does something else to every page: basic (contrast, sharpness, gamma), the fixed actions of intermediate and
     advanced, or custom, the given actions in the engine's order. Pages that need nothing, or can't be read, come back as
     they are. improvement is estimated for pages that were worked on; documents counts pages preprocessed and skipped.
@@ -142,6 +161,9 @@ def preprocess(spark: SparkSession, input_dir: str, output_dir: str | None = Non
     typed = F.transform(every, lambda c, i: F.struct((i + 1).alias("pos"), c["condition"].alias("condition"), c["severity"].alias("severity"), c["confidence"].alias("confidence"), c["evidence"].alias("evidence"), c["actions"].alias("actions"), c["severity"].isin("severe", "moderate").alias("is_primary")))
     assessed = C.assessed(m.withColumn("found", typed))
     gate = C.first_is_action(F.col("recommendations"))
+    if provider is not None:
+        assessed, gate = kept(model_conditions(pages, provider), "assessed"), F.col("process")
+        assessed = assessed.withColumns({"primary_issues": F.filter("found", lambda c: c["is_primary"]), "notes": C.special_notes(F.col("found"))})
     fixed = {"basic": ("basic",), "custom": custom, **PRESETS}.get(level)
     actions = F.array(*map(F.lit, fixed)) if level else F.when(gate, F.col("recommendations")).otherwise(F.array().cast("array<string>"))
     images = pages.where("error is null").join(assessed.select("path", C.grouped_order(actions).alias("actions")), "path").select(F.col("path").alias("image_id"), "height", "width", "data", "actions")

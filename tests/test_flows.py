@@ -191,6 +191,28 @@ def test_preprocessing_sees_the_page(spark, tmp_path):
         W.preprocess(spark, f"{tmp_path}/in", level="custom")
 
 
+def test_preprocessing_by_a_model(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    page = np.arange(60 * 40, dtype=np.uint32).reshape(60, 40) % 251
+    for k, name in enumerate(("turned", "good", "silent")):
+        (tmp_path / f"in/{name}.png").write_bytes(encode_png((page + k).astype(np.uint8)))
+
+    def answers(r, seen):
+        if seen[0, 0] == 0:
+            turn = {"condition": "rotated_90_cw", "severity": "critical", "confidence": 0.9, "evidence": "vertical text", "recommended_actions": ["rotate_90_ccw"]}
+            return json.dumps({"overall_quality": "Poor", "primary_issues": [turn], "secondary_issues": []})
+        return json.dumps({"overall_quality": "Good", "primary_issues": []}) if seen[0, 0] == 1 else None
+
+    out = W.preprocess(spark, f"{tmp_path}/in", f"{tmp_path}/out", provider=counting(str(tmp_path), answers))
+    got = {r.document: r for r in out["images"].collect()}
+    assert got["turned"].applied == ["rotate_90_ccw"] and (got["turned"].height, got["turned"].width) == (40, 60)
+    assert (np.frombuffer(got["turned"].data, np.uint8).reshape(40, 60) == np.rot90(page.astype(np.uint8))).all()
+    assert got["good"].applied == [] and got["silent"].applied == ["enhance_contrast", "denoise", "sharpen"]
+    a = {r.path.rsplit("/", 1)[1]: (r.source, r.process, r.quality) for r in out["assessments"].collect()}
+    assert a["turned.png"] == ("model", True, "Poor") and a["good.png"] == ("model", False, "Good") and a["silent.png"][:2] == ("fallback", True)
+    assert len(logged(tmp_path)) == 3
+
+
 def test_a_page_of_real_size_fits(tmp_path):
     """2,480 by 3,508 pixels with 1,500 parts: all measures and kernels stay within 1,500 MB."""
     import subprocess
