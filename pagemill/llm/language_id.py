@@ -221,7 +221,8 @@ def sampled(docs: DataFrame, text_col: str, label_col: str, id_col: str) -> list
     usable = docs.where(label.isNotNull() & text.isNotNull()).select(label.alias("label"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
     known = usable.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
     share = 1 << 40
-    few = usable.join(known, "label").where(F.pmod("h", F.lit(share)) <= F.lit(4.0 * SAMPLE_DOCS * share) / F.col("n"))
+    # a label costs the model half a megabyte, which every task holds: its row here is nothing beside that
+    few = usable.join(F.broadcast(known), "label").where(F.pmod("h", F.lit(share)) <= F.lit(4.0 * SAMPLE_DOCS * share) / F.col("n"))
     span = F.length("text") - PIECE_CHARS + 1
     pieces = [F.substring(F.col("text"), F.pmod(F.xxhash64(F.col("h"), F.lit(k)), span) + 1, F.lit(PIECE_CHARS)) for k in range(PIECES)]
     whole_words = [F.regexp_replace(x, r"(?s)^\S*\s(.*)\s\S*$", "$1") for x in pieces]
