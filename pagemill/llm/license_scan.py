@@ -16,6 +16,9 @@ from .license_rules import BASE, REACH, RULES
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD, GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Rules that are broadcast; a longer list is left to the join that Spark chooses.
+BROADCAST_RULES = 10_000
+
 
 def _words_in(match):
     m = F.btrim(match)
@@ -51,7 +54,9 @@ def scan(docs: DataFrame, text_col: str = "text", rules=RULES, base=BASE) -> Dat
     ))
     found = rows.where("__words is not null").select("__row", F.explode(hits).alias("h")).select("__row", "h.*")
     listed = spark.createDataFrame(table, "rank int, label string, before string, gate string, after string, base boolean")
-    tried = found.join(F.broadcast(listed), "gate").where(F.rlike("left", F.col("before")) & F.rlike("right", F.col("after")))  # a few hundred rules
+    if len(table) <= BROADCAST_RULES:
+        listed = F.broadcast(listed)
+    tried = found.join(listed, "gate").where(F.rlike("left", F.col("before")) & F.rlike("right", F.col("after")))
     lo = F.col("at") - _words_in(F.expr("regexp_extract(left, before, 0)"))
     hi = F.col("at") + 1 + _words_in(F.expr("regexp_extract(right, after, 0)"))
     spans = tried.select("__row", "rank", "label", "base", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
