@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pagemill.llm import components as graph
 from pagemill.llm import exact_dedup, line_dedup, simhash
 from pagemill.llm.common import setting
 from pagemill.llm.components import components
@@ -198,7 +199,9 @@ def test_near_groups(spark, monkeypatch, bucket):
     assert got == {i: (f"{prints[i]:016x}", roots[i]) for i in range(len(texts))}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(1, rng.randrange(200, 900)) for _ in range(300)] + [(7, 7), (5, 3), (3, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
